@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,8 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; a null text is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def if_small(df: DataFrame, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociform.llm import licenses, media
+from lociform.llm import licenses, media, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op4_media": media.op4_media,
         "op7_licenses": licenses.op7_licenses,
     }
