@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociform.llm import licenses, media, near_dedup
+from lociform.llm import embed_dedup, licenses, media, near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op4_media": media.op4_media,
+        "op5_embed_dedup": embed_dedup.op5_embed_dedup,
         "op7_licenses": licenses.op7_licenses,
     }
 
