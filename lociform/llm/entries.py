@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociform.llm import embed_dedup, licenses, media, near_dedup
+from lociform.llm import embed_dedup, licenses, media, near_dedup, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op2_pii": pii.op2_pii,
         "op4_media": media.op4_media,
         "op5_embed_dedup": embed_dedup.op5_embed_dedup,
         "op7_licenses": licenses.op7_licenses,
