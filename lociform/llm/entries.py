@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lociform.llm import embed_dedup, licenses, media, near_dedup, pii
+from lociform.llm import chat, embed_dedup, licenses, media, mixing, near_dedup, pii, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": pii.op2_pii,
         "op4_media": media.op4_media,
         "op5_embed_dedup": embed_dedup.op5_embed_dedup,
+        "op6_mixing": mixing.op6_mixing,
         "op7_licenses": licenses.op7_licenses,
+        "op9_chat_rotation": chat.op9_chat_rotation,
+        "op10_warc_revisits": warc.op10_warc_revisits,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.SQL, "op9_chat_rotation": chat.SQL, "op10_warc_revisits": warc.SQL}
