@@ -23,7 +23,7 @@ CLASSES = 10
 CLASS = np.full(256, 9, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(128, 256)), b" \t", b"|", b"#$%&*", b"!", b".,;:?")):
     CLASS[list(_chars)] = _k
-WIDTH = CLASSES + 4
+WIDTH = CLASSES + 9
 FEATURES = 3 * WIDTH + 1
 
 
@@ -41,7 +41,10 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     share = counts / np.maximum(length, 1)[:, None]
     words = counts[:, 4] + 1
     seen = _repeats(data, starts, ends, per)
-    own = np.column_stack([share, np.log1p(length) / 8, np.minimum(length / words, 40) / 20, seen, length == 0])
+    each = words[:, None]
+    letters = np.maximum(counts[:, 0] + counts[:, 1] + counts[:, 3], 1)
+    fresh = _fresh(data, starts, ends)
+    own = np.column_stack([counts[:, 5:8] / each, counts[:, 1] / letters, fresh, share, np.log1p(length) / 8, np.minimum(length / words, 40) / 20, seen, length == 0])
     first = np.zeros(len(own), bool)
     first[np.cumsum(per) - per] = True
     last = np.zeros(len(own), bool)
@@ -51,6 +54,17 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.column_stack([own, before, after, np.ones(len(own))]), length, per
 
 
+def _fresh(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Share of a line's words that differ from those before in the line; 1 for a line of less than three."""
+    raw = data.tobytes()
+    out = np.ones(len(starts))
+    for i, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        words = raw[a:z].split()
+        if len(words) > 2:
+            out[i] = len(set(words)) / len(words)
+    return out
+
+
 def _repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray) -> np.ndarray:
     """1 for a line that its text holds before."""
     raw = data.tobytes()
