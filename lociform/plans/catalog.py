@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import importlib
+
+from lociform.plans.registry import QUERIES, SQL
+
+for _name in ("interval_queries", "selection_queries"):
+    importlib.import_module(f"lociform.plans.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
