@@ -4,9 +4,9 @@ Equal shingle sets become one node first. Bands of registers deal the nodes into
 buckets; each node is compared with its bucket's smallest node (a star, not all
 pairs), and links are confirmed on full shingle sets. What a star can miss, two
 linked nodes of one bucket that are in different components yet, is then looked for
-exactly: nodes outside the component of their bucket's first node are compared, by
-register likelihood and in bounded blocks, with the bucket's other components, best
-estimates first, until no pair is left.
+exactly: nodes outside the component of their bucket's first node are compared by register
+likelihood with the bucket's other components; few likely members are verified pair by
+pair, many in blocks of the component, up to the first link.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ BANDS, ROWS = 32, 5
 SKETCH = SetSketch(BANDS * ROWS)
 #: Estimates this far below the threshold are not verified: five standard errors of 160 registers.
 MARGIN = 0.15
-BLOCK = 512
-#: Ranks of the estimates, by node and component, that each further round verifies.
-ROUNDS = ((0, 3), (3, 48), (48, 1 << 30))
+BLOCK = 256
+#: Members of a component that are compared with an outsider pair by pair; more are taken in blocks.
+FEW = 4
 SMALL = 500_000
 
 
@@ -42,10 +42,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, rows, "doc_id long, n long, key binary, registers binary")
 
 
+def _bucket(band: int):
+    return F.xxhash64(F.lit(band), F.substring("registers", 1 + band * ROWS * 2, ROWS * 2))
+
+
 def _in_bands(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, ...) for each band of each node."""
-    part = lambda i: F.xxhash64(F.lit(i), F.substring("registers", 1 + i * ROWS * 2, ROWS * 2))
-    return nodes.withColumn("bucket", F.explode(F.array(*(part(i) for i in range(BANDS)))))
+    """(node, band, bucket) for each band of each node."""
+    return nodes.select("node", F.posexplode(F.array(*(_bucket(i) for i in range(BANDS)))).alias("band", "bucket"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -75,42 +78,91 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return map_batches(wanted, rows, "node long, hashes binary").dropDuplicates(["node"])
 
 
-def _cross(lo: int, hi: int, percent: int):
-    """For one bucket's block of outsiders and block of members: pairs of different components
-    whose estimate passes, ranks lo to hi of each outsider and component. A pair is looked
-    at in the first band that it shares."""
+def _cross(percent: int):
+    """For one bucket's block of outsiders and block of members: what is left to compare.
+
+    A pair of different components counts in the first band that it shares, if its
+    estimate passes. Few such members of a component come as pairs (a, b), many as one
+    row with the component instead.
+    """
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        node, comp, n = (np.array(t.column(c).to_pylist()) for c in ("node", "comp", "n"))
-        band, side = np.array(t.column("band").to_pylist()), np.array(t.column("outsider").to_pylist(), bool)
+        node, comp, n, band = (np.array(t.column(c).to_pylist()) for c in ("node", "comp", "n", "band"))
+        side = np.array(t.column("outsider").to_pylist(), bool)
         regs = np.frombuffer(b"".join(x.as_py() for x in t.column("registers")), np.uint16).reshape(len(node), -1)
-        xs, ys = np.flatnonzero(side), np.flatnonzero(~side)
-        out_a, out_b = [], []
-        for x in xs:
-            other = ys[(comp[ys] != comp[x])]
-            if not len(other):
-                continue
-            shared = (regs[other] == regs[x]).reshape(len(other), BANDS, ROWS).all(2).argmax(1)
+        ys = np.flatnonzero(~side)
+        out: list[tuple] = []
+        for x in np.flatnonzero(side):
+            other = ys[comp[ys] != comp[x]]
+            shared = (regs[other] == regs[x]).reshape(len(other), BANDS, ROWS).all(2).argmax(1) if len(other) else other
             other = other[shared == band[x]]
-            ratio = np.minimum(n[other], n[x]) * 100 >= percent * np.maximum(n[other], n[x])
-            other = other[ratio]
-            if not len(other):
-                continue
-            est = SKETCH.similarity(np.broadcast_to(regs[x], (len(other), regs.shape[1])), regs[other], np.full(len(other), float(n[x])), n[other].astype(float))
-            good = est >= percent / 100 - MARGIN
-            other, est = other[good], est[good]
-            order = np.lexsort((node[other], -est, comp[other]))
-            other = other[order]
-            first = np.searchsorted(comp[other], comp[other])
-            rank = np.arange(len(other)) - first
-            pick = other[(rank >= lo) & (rank < hi)]
-            out_a += [int(node[x])] * len(pick)
-            out_b += node[pick].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            other = _likely(x, other, n, regs, percent)
+            found, count = np.unique(comp[other], return_counts=True)
+            many = set(found[count > FEW].tolist())
+            out += [(int(node[x]), None, c) for c in many]
+            out += [(int(node[x]), int(node[y]), None) for y in other if int(comp[y]) not in many]
+        return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("a", "b", "comp"))})
+
+    return run
+
+
+def _likely(x: int, other: np.ndarray, n: np.ndarray, regs: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``other`` that may reach the threshold with ``x``, the likeliest first."""
+    other = other[np.minimum(n[other], n[x]) * 100 >= percent * np.maximum(n[other], n[x])]
+    if not len(other):
+        return other
+    est = SKETCH.similarity(np.broadcast_to(regs[x], (len(other), regs.shape[1])), regs[other], np.full(len(other), float(n[x])), n[other].astype(float))
+    good = est >= percent / 100 - MARGIN
+    return other[good][np.argsort(-est[good], kind="stable")]
+
+
+def _against(percent: int):
+    """For one block of a component and one of outsiders: a confirmed link of each outsider, if there is one."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        node, n = (np.array(t.column(c).to_pylist()) for c in ("node", "n"))
+        side = np.array(t.column("outsider").to_pylist(), bool)
+        regs = np.frombuffer(b"".join(x.as_py() for x in t.column("registers")), np.uint16).reshape(len(node), -1)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+        ys, out = np.flatnonzero(~side), []
+        for x in np.flatnonzero(side):
+            for y in _likely(x, ys, n, regs, percent):
+                common = overlap(sets[x], sets[y])
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    out.append((int(node[x]), int(node[y])))
+                    break
+        return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate("ab")})
 
     return run
 
 
+def _rest(members: DataFrame, comps: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components that the stars left, from all pairs of a bucket
+    that lie in different ones."""
+    of = info.select("node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
+    of = checkpointed(of)
+    placed = members.join(of, "node").join(of.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    placed = checkpointed(placed.select("bucket", "band", "node", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside"), F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks")))
+    outside = placed.where("outside")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    wide = outside.select("bucket", "band", "node", "comp", F.lit(True).alias("outsider"), F.col("block").alias("i"), every.alias("j"))
+    others = placed.select("bucket", "band", "node", "comp", F.lit(False).alias("outsider"), F.col("block").alias("j")).join(outside.select("bucket", F.col("block").alias("i")).distinct(), "bucket").select(*wide.columns)
+    left = wide.unionByName(others).join(info, "node").groupBy("bucket", "i", "j").applyInArrow(_cross(percent), "a long, b long, comp long")
+    left = checkpointed(left.distinct())
+    pairs = left.where("b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    asked = left.where("b IS NULL").select(F.col("a").alias("node"), "comp").distinct()
+    width = asked.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("is"))
+    size = of.join(width, "comp").groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("js"), F.first("is").alias("is"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    xs = asked.join(size, "comp").select("comp", "node", F.lit(True).alias("outsider"), part("is").alias("i"), all_of("js").alias("j"))
+    ys = of.join(size, "comp").select("comp", "node", F.lit(False).alias("outsider"), all_of("is").alias("i"), part("js").alias("j"))
+    blocks = xs.unionByName(ys.select(*xs.columns)).join(info, "node").join(sets, "node").select("comp", "i", "j", "node", "n", "outsider", "registers", "hashes")
+    more = blocks.groupBy("comp", "i", "j").applyInArrow(_against(percent), "a long, b long")
+    return _verified(pairs, sets, percent).unionByName(more)
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
@@ -124,7 +176,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = checkpointed(sketches(docs, width))
     keys = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = checkpointed(keys)
-    banded = _in_bands(nodes.select("node", "registers")).select("bucket", "node")
+    banded = _in_bands(nodes)
     shared = checkpointed(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1"))
     members = checkpointed(banded.join(shared, "bucket"))
     stars = checkpointed(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
@@ -133,26 +185,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = checkpointed(_verified(stars, sets, percent))
     comps = checkpointed(components(links))
     info = checkpointed(nodes.join(touched, "node").select("node", "n", "registers"))
-    for lo, hi in ROUNDS:
-        of = info.select("node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
-        placed = members.join(of, "node").join(of.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
-        blocks = F.ceil(F.col("members") / BLOCK)
-        placed = checkpointed(placed.select("bucket", "node", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside"), F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks")))
-        outside = placed.where("outside")
-        if outside.isEmpty():
-            break
-        wide = outside.select("bucket", "node", "comp", F.lit(True).alias("outsider"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-        rest = placed.select("bucket", "node", "comp", F.lit(False).alias("outsider"), F.col("block").alias("j")).join(outside.select("bucket", F.col("block").alias("i")).distinct(), "bucket").select(*wide.columns)
-        both = wide.unionByName(rest).join(info, "node")
-        which = F.array_position(F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 1 + i * ROWS * 2, ROWS * 2)) for i in range(BANDS))), F.col("bucket")) - 1
-        pairs = both.withColumn("band", which).groupBy("bucket", "i", "j").applyInArrow(_cross(lo, hi, percent), "a long, b long")
-        pairs = checkpointed(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if pairs.isEmpty():
-            if lo:
-                break
-            continue
-        links = checkpointed(links.unionByName(_verified(pairs, sets, percent)))
-        comps = checkpointed(components(links))
+    links = checkpointed(links.unionByName(_rest(members, comps, info, sets, percent)))
+    comps = checkpointed(components(links))
     named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 OR component_id IS NOT NULL").select("key", F.coalesce("component_id", "node").alias("component_id"))
     known = seen.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

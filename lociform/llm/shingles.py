@@ -16,7 +16,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class WordHashes(dict):
     """word -> 64-bit hash, forgotten when full so that memory stays bounded."""
 
-    LIMIT = 200_000
+    LIMIT = 80_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
