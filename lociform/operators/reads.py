@@ -69,7 +69,7 @@ def word_weights(reads: DataFrame, seq: str, weights: DataFrame, size: int = 7)
 
 def frequency_table(df: DataFrame, position: str, base: str, bases: list[str]) -> DataFrame:
     """Counts by position, one column for each base."""
-    return df.groupBy(position).pivot(base, bases).agg(F.count("*")).na.fill(0)
+    return df.groupBy(position).pivot(base, bases).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """FASTA, FASTQ, VCF, SAM and TSV text as DataFrames, and back.
 
-Readers use Spark's text source, so files of any store are split over tasks; only FASTQ,
-whose records span four lines, is numbered line by line inside of one file.
+Readers use Spark's text source, so files of any store are split over tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,13 +21,15 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(header, seq, quality) of four-line FASTQ records (S13); blank lines at the end are allowed.
 
-    Records start at "@" lines that have a "+" line two lines on, so the text is read with
-    a record separator of a line end and "@" and pieces cut inside a quality are joined.
+    The text is split at a line end and "@"; a quality that begins with "@" is cut off its
+    record by that and joined again with the piece behind it.
     """
-    raw = spark.read.option("wholetext", True).text(path)
-    lines = F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: x != "")
-    each = raw.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size(lines) / 4).cast("int") - 1), lambda i: F.slice(lines, i * 4 + 1, F.lit(4)))).alias("r"))
-    return each.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("header"), F.col("r")[1].alias("seq"), F.col("r")[3].alias("quality"))
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    w = W.partitionBy("file").orderBy("block", "i")
+    rest = F.concat(F.lit("@"), F.coalesce(F.lead("v").over(w), F.lit("")))
+    lines = F.filter(F.split("v", "\n"), lambda x: x != "")
+    each = raw.select(lines.alias("r"), rest.alias("rest")).where(F.size("r") >= 3)
+    return each.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("header"), F.col("r")[1].alias("seq"), F.coalesce(F.get("r", F.lit(3)), F.regexp_replace("rest", "\n+$", "")).alias("quality"))
 
 
 def fasta_lines(reads: DataFrame, header: str, seq: str, quality: str | None = None) -> DataFrame:
