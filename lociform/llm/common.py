@@ -19,14 +19,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
     The folder is the one named by ``spark.checkpoint.dir``; a local one is set
-    only where a session names none, as in tests on one machine.
+    only where a session names none, as in tests on one machine. Partitions are joined
+    to four for each core, or an eighth of the shuffle partitions if that is more: each
+    file costs the writer several calls to the store.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lociform-checkpoint-"))
-    return df.checkpoint(eager=True)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(4 * sc.defaultParallelism, parts // 8)).checkpoint(eager=True)
 
 
 def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:

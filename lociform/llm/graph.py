@@ -45,14 +45,13 @@ def _contract(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component_id) for each end of an edge that is not its component's smallest id.
 
-    ``edges`` has two columns of ids; loops, repeated edges and rows with a null are
+    ``edges`` is read twice and has two columns of ids; loops, repeated edges and rows with a null are
     allowed and change nothing. Each task first contracts a bounded share of the edges
     to a forest; large-star and small-star rounds then join the forests until every
     edge leads to the smallest id.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = checkpointed(e)
     e = checkpointed(_contract(e.repartition(1 + e.count() // EDGES_A_TASK)))
     if e.rdd.getNumPartitions() == 1:
         return e.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))

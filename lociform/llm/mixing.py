@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociform.llm.common import if_small, table
+from lociform.llm.common import checkpointed, if_small, table
 
 LEVELS = ("domain", "lang", "source")
 #: Leaves times pieces of them up to which their table is broadcast.
@@ -97,10 +97,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = docs.withColumns({"__domain": domain_of(source), "__lang": lang, "__source": source, "__tokens": token_count(F.col(text_col))})
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     slim = own.select(F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), F.col(id_col).alias("id"))
-    share = budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").cast("long").alias("tokens")), budget, weights, max_epochs)
+    # tables of leaves and of pieces are written once, so that the texts aren't counted again for each use
+    share = budgets(checkpointed(slim.groupBy(*LEVELS).agg(F.sum("tokens").cast("long").alias("tokens"))), budget, weights, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("share DIV tokens")).otherwise(1)
     leaf = share.select(*(F.col(x).alias(f"__{x}") for x in LEVELS), whole.alias("__whole"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(0).alias("__rest"))
-    leaf = if_small(leaf, SMALL)
+    leaf = if_small(checkpointed(leaf), SMALL)
     names = [f"__{x}" for x in LEVELS]
     placed = own.join(leaf, names).withColumn("__epoch", F.col("__whole")).withColumn("__order", key)
     piece = F.substring("__order", 1, DIGITS)
@@ -108,12 +109,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     pieces = placed.where("__rest > 0").groupBy(*names, "__rest", piece.alias("__piece")).agg(F.sum("__tokens").alias("n"))
     before = F.sum("n").over(W.partitionBy(*names).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
     pieces = pieces.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before <= __rest")
-    edge = pieces.where("__before + n > __rest").select(*names, "__piece", (F.col("__rest") - F.col("__before")).alias("__room"))
+    edge = checkpointed(pieces.where("__before + n > __rest").select(*names, "__piece", (F.col("__rest") - F.col("__before")).alias("__room")))
     inside = placed.select(*names, "__order", "__tokens").withColumn("__piece", piece).join(if_small(edge, SMALL), [*names, "__piece"])
     upto = F.sum("__tokens").over(W.partitionBy(*names).orderBy("__order").rangeBetween(W.unboundedPreceding, 0))
     last = inside.withColumn("__upto", upto).where("__upto <= __room").groupBy(*names).agg(F.max("__order").alias("__last"))
     edge = edge.join(last, names, "left").select(*names, F.col("__piece").alias("__edge"), F.coalesce("__last", F.lit("")).alias("__last"))
-    cut = if_small(edge, SMALL)
+    cut = if_small(checkpointed(edge), SMALL)
     placed = placed.join(cut, names, "left")
     more = (F.col("__rest") > 0) & (F.col("__edge").isNull() | (piece < F.col("__edge")) | ((piece == F.col("__edge")) & (F.col("__order") <= F.col("__last"))))
     times = F.col("__whole") + F.when(more, 1).otherwise(0)

@@ -140,7 +140,6 @@ def _rest(members: DataFrame, comps: DataFrame, info: DataFrame, sets: DataFrame
     """Links (a, b) between the components that the stars left, from all pairs of a bucket
     that lie in different ones."""
     of = info.select("node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
-    of = checkpointed(of)
     placed = members.join(of, "node").join(of.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
     blocks = F.ceil(F.col("members") / BLOCK)
     placed = checkpointed(placed.select("bucket", "band", "node", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside"), F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks")))
@@ -177,16 +176,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = checkpointed(keys)
     banded = _in_bands(nodes)
-    shared = checkpointed(banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = checkpointed(banded.join(shared, "bucket"))
-    stars = checkpointed(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     touched = checkpointed(members.select("node").distinct())
     sets = checkpointed(_sets_of(docs, touched, width))
     links = checkpointed(_verified(stars, sets, percent))
-    comps = checkpointed(components(links))
+    comps = components(links)
     info = checkpointed(nodes.join(touched, "node").select("node", "n", "registers"))
     links = checkpointed(links.unionByName(_rest(members, comps, info, sets, percent)))
-    comps = checkpointed(components(links))
+    comps = components(links)
     named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 OR component_id IS NOT NULL").select("key", F.coalesce("component_id", "node").alias("component_id"))
     known = seen.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
