@@ -24,7 +24,7 @@ from lociform.llm.graph import components, contracted
 
 KEY_BITS = 30
 WINDOW = 16
-BLOCK = 512
+BLOCK = 1024
 #: Vectors that a cell holds on average at most, if keys are spread evenly.
 CELL = 64
 #: Share of pairs at the threshold that all passes together may miss.
@@ -79,12 +79,13 @@ def _keyed(nodes: DataFrame, passes: int, seed: int) -> DataFrame:
 
 def _compare(threshold: float, bits: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        at = {c: np.array(t.column(c).to_pylist()) for c in ("node", "copies", "turn", "rank", "reach", "right")}
-        label = np.array(t.column("label").to_pylist(), object)
-        ranks = np.array(t.column("ranks").to_pylist(), np.int64)
-        cells = np.array(t.column("keys").to_pylist(), np.int64) >> (KEY_BITS - bits)
-        units = [np.frombuffer(x.as_py()) for x in t.column("unit")]
+        at = {c: t.column(c).to_numpy() for c in ("node", "copies", "turn", "rank", "reach", "right")}
+        label = t.column("label").to_numpy()
+        each = lambda c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        ranks, cells = each("ranks"), each("keys") >> (KEY_BITS - bits)
+        units = t.column("unit").to_pylist()
         size = np.array([len(u) for u in units])
+        rows = lambda at: np.frombuffer(b"".join([units[i] for i in at])).reshape(len(at), -1)
         links, edges = np.zeros(len(size), np.int64), []
         same_block = not at["right"].any()
         for turn in np.unique(at["turn"]):
@@ -93,7 +94,7 @@ def _compare(threshold: float, bits: int):
                 left, right = own[~at["right"][own]], own if same_block else own[at["right"][own]]
                 if not len(left) or not len(right):
                     continue
-                cos = np.stack([units[i] for i in left]) @ np.stack([units[i] for i in right]).T
+                cos = rows(left) @ rows(right).T
                 ok = (cos >= threshold) & (at["rank"][left][:, None] < at["rank"][right]) & (at["rank"][right] <= at["reach"][left][:, None])
                 i, j = np.nonzero(ok)
                 i, j = left[i], right[j]
@@ -143,7 +144,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     slots = checkpointed(slots)
     spans = slots.groupBy("block").agg(F.max("reach").alias("until"))
     spans = spans.select(F.col("block").alias("i"), "until", F.explode(F.sequence("block", F.floor(F.col("until") / BLOCK))).alias("j"))
-    lefts = slots.join(spans.select(F.col("i").alias("block"), "j"), "block").select("node", "label", "turn", "rank", "reach", F.col("block").alias("i"), "j", F.lit(False).alias("right"))
+    lefts = slots.join(spans.select(F.col("i").alias("block"), "j"), "block").where(f"j = block OR reach >= j * {BLOCK}").select("node", "label", "turn", "rank", "reach", F.col("block").alias("i"), "j", F.lit(False).alias("right"))
     rights = slots.join(spans.where("i != j").select(F.col("j").alias("block"), "i", "until"), "block").where("rank <= until").select("node", "label", "turn", "rank", "reach", "i", F.col("block").alias("j"), F.lit(True).alias("right"))
     places = ranked.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "rank"))), lambda x: x["rank"]).alias("ranks"))  # one for each pass
     facts = checkpointed(nodes.select("node", "copies", "unit").join(keyed, "node").join(places, "node"))
