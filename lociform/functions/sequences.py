@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-COLORS = {a + b: str((("ACGT".index(a)) ^ ("ACGT".index(b)))) for a in "ACGT" for b in "ACGT"}
 #: Offset and least score by encoding (C4).
 ENCODINGS = {"sanger": (33, 0), "illumina": (64, 0), "solexa": (64, -5), "phred": (0, 0)}
 
@@ -23,19 +25,58 @@ def bisulfite(seq: Column) -> Column:
     return F.translate(seq, "Cc", "Tt")
 
 
+def _bases(upper: bool) -> np.ndarray:
+    """Number of a base by its byte, 4 for all else."""
+    own = np.full(256, 4, np.uint8)
+    for i, b in enumerate("ACGT"):
+        own[ord(b)] = i
+        if not upper:
+            own[ord(b.lower())] = i
+    return own
+
+
+def _bytes(s: str) -> np.ndarray:
+    """One byte for each character, "?" for those beyond Latin-1."""
+    return np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+
+
+def colors_of(s: str | None) -> str | None:
+    if s is None or len(s) < 2:
+        return s
+    b = _bases(False)[_bytes(s)]
+    known = (b[1:] < 4) & (b[:-1] < 4)
+    return s[0] + np.where(known, (b[1:] ^ b[:-1]) + 48, 46).astype(np.uint8).tobytes().decode()
+
+
+def bases_of(s: str | None) -> str | None:
+    if s is None or len(s) < 2:
+        return s
+    b = _bytes(s)
+    steps = np.concatenate([_bases(True)[b[:1]], b[1:] - 48])  # bytes below "0" wrap around
+    unknown = np.flatnonzero(steps > 3)
+    upto = int(unknown[0]) if len(unknown) else len(s)
+    known = np.frombuffer(b"ACGT", np.uint8)[np.bitwise_xor.accumulate(steps[:upto])].tobytes().decode()
+    return s[0] + known[1:] + "N" * (len(s) - max(upto, 1))
+
+
+@F.pandas_udf(StringType())
+def _encoded(seq: pd.Series) -> pd.Series:
+    return seq.map(colors_of, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _decoded(code: pd.Series) -> pd.Series:
+    return code.map(bases_of, na_action="ignore")
+
+
 def color_encode(seq: Column) -> Column:
     """First base, then a digit for each pair of neighbours; "." where a base is unknown."""
-    table = F.create_map(*(x for k, v in COLORS.items() for x in (F.lit(k), F.lit(v))))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.coalesce(F.element_at(table, F.upper(seq.substr(i, F.lit(2)))), F.lit(".")))
-    return F.when(F.length(seq) < 2, seq).otherwise(F.concat(seq.substr(F.lit(1), F.lit(1)), F.array_join(pairs, "")))
+    return _encoded(seq)
 
 
 def color_decode(code: Column) -> Column:
-    """Bases from the first base and the digits behind it."""
-    back = F.create_map(*(x for k, v in COLORS.items() for x in (F.lit(k[0] + v), F.lit(k[1]))))
-    digits = F.transform(F.sequence(F.lit(2), F.length(code)), lambda i: code.substr(i, F.lit(1)))
-    step = lambda acc, d: F.concat(acc, F.coalesce(F.element_at(back, F.concat(F.right(acc, F.lit(1)), d)), F.lit("N")))
-    return F.when(F.length(code) < 2, code).otherwise(F.aggregate(digits, F.left(code, F.lit(1)), step))
+    """Bases from the first base and the digits behind it; N from the first unknown digit on."""
+    return _decoded(code)
 
 
 def phred(quality: Column, encoding: str = "sanger") -> Column:
