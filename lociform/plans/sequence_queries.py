@@ -158,17 +158,17 @@ def _anchor_sql(last: bool) -> str:
 
 @query(_anchor_sql(False))
 def peak_anchor_merge(t):
-    return wi.anchored(t.exons.where("target < 3"), ["target"], 4)
+    return wi.anchored(t.exons, ["target"], 4)
 
 
 @query(_anchor_sql(True))
 def peak_chain_merge(t):
-    return wi.anchored(t.exons.where("target < 3"), ["target"], 4, "last")
+    return wi.anchored(t.exons, ["target"], 4, "last")
 
 
 @query()
 def peak_value_merge(t):
-    own = t.exons.where("target < 3").groupBy("target", "start", "end").agg(F.count("*").cast("double").alias("value"))
+    own = t.exons.groupBy("target", "start", "end").agg(F.count("*").cast("double").alias("value"))
     return wi.by_difference(own, ["target"], "value", 1.0)
 
 

@@ -1,9 +1,15 @@
 """Whole texts and tables: what a cut of the input would lose, against brute force."""
 
+import random
 from collections import Counter
+from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 
+from lociform.llm import licenses
+from lociform.operators import reads as rd
+from lociform.plans.bindings import Tables
 from lociform.plans.catalog import QUERIES
 
 COMMON = "the quick brown fox jumps over the lazy dog " * 2
@@ -48,3 +54,36 @@ def test_qualities_of_whole_texts(spark, texts):
         own = sorted(c[p] for c in codes if p < len(c))
         assert got.pop(p) == (pytest.approx(sum(own) / len(own), abs=1e-6), own[(len(own) - 1) // 2])
     assert not got
+
+
+ORDERS = [(k, (k * 7) % 1003, date(1992, 1, 1) + timedelta(days=k * 31 % 83)) for k in range(1, 161)]
+
+
+def segments(orders):
+    return sorted((c % 10, (d - date(1992, 1, 1)).days, (d - date(1992, 1, 1)).days + 3, c % 500) for _, c, d in orders)
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    return folder(spark, tmp_path_factory.mktemp("orders"), orders=(ORDERS, "o_orderkey long, o_custkey long, o_orderdate date"))
+
+
+def test_peaks_of_all_targets(spark, orders):
+    own = sorted((r["target"], r["start"], r["end"]) for r in Tables(spark, orders).exons.collect())
+    assert {x[0] for x in own} == set(range(10))
+    for name, last in (("peak_anchor_merge", False), ("peak_chain_merge", True)):
+        runs = []
+        for g, s, e in own:
+            if runs and runs[-1][0] == g and s - runs[-1][4] <= 4:
+                runs[-1][2:4] = max(runs[-1][2], e), runs[-1][3] + 1
+                runs[-1][4] = e if last else runs[-1][4]
+            else:
+                runs.append([g, s, e, 1, e])
+        assert sorted((r["target"], r["start"], r["end"], r["n"]) for r in found(spark, name, orders)) == [tuple(r[:4]) for r in runs]
+    runs = []
+    for (g, s, e), n in sorted(Counter(own).items()):
+        if runs and runs[-1][0] == g and abs(n - runs[-1][4]) <= 1:
+            runs[-1][2:4] = max(runs[-1][2], e), runs[-1][3] + 1
+        else:
+            runs.append([g, s, e, 1, n])
+    assert sorted((r["target"], r["start"], r["end"], r["n"]) for r in found(spark, "peak_value_merge", orders)) == [tuple(r[:4]) for r in runs]
