@@ -40,9 +40,9 @@ class Tables:
 
     @cached_property
     def exons(self) -> DataFrame:
-        """Short segments of few genes."""
+        """Short segments of genes."""
         start = days("o_orderdate")
-        return self["orders"].where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 10).alias("target"), start.alias("start"), (start + 3).alias("end"), (F.col("o_custkey") % 500).alias("gene"))
+        return self["orders"].select((F.col("o_custkey") % 10).alias("target"), start.alias("start"), (start + 3).alias("end"), (F.col("o_custkey") % 500).alias("gene"))
 
     @cached_property
     def obs(self) -> DataFrame:

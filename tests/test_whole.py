@@ -87,3 +87,7 @@ def test_peaks_of_all_targets(spark, orders):
         else:
             runs.append([g, s, e, 1, n])
     assert sorted((r["target"], r["start"], r["end"], r["n"]) for r in found(spark, "peak_value_merge", orders)) == [tuple(r[:4]) for r in runs]
+
+
+def test_exons_are_all_orders(spark, orders):
+    assert sorted(tuple(r) for r in Tables(spark, orders).exons.select("target", "start", "end", "gene").collect()) == segments(ORDERS)
