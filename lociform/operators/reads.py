@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociform.functions import sequences as sq
+from lociform.operators.sweep import running_sum
 
 BLOCK = 1 << 16
+#: As many different seeds are sent to all tasks.
+SEEDS = 1 << 20
 
 
 def tally(reads: DataFrame, seq: str) -> DataFrame:
@@ -109,10 +112,38 @@ def genome_get(points: DataFrame, blocks: DataFrame, target: str, pos: str, leng
     return got.withColumn("bases", both.substr((F.col(pos) % block + 1).cast("int"), F.lit(length))).drop("__t", "__b", "__one", "__two")
 
 
-def seed_hits(reads: DataFrame, genome: DataFrame, seq: str, size: int, most: int) -> DataFrame:
-    """Exact matches of reads' first ``size`` bases in a genome's blocks, at most ``most`` each."""
+def joined_blocks(parts: DataFrame, target: str, order: str, seq: str, block: int = BLOCK) -> DataFrame:
+    """(target, block, bases) of the targets that ``parts`` make when put end to end by ``order``; no row holds a whole target."""
+    own = parts.select(F.col(target).alias("target"), F.col(order).alias("__o"), F.col(seq).alias("__s"), F.length(seq).cast("long").alias("__n")).where("__n > 0")
+    ends = running_sum(own.select("target", "__o", "__n"), ["target"], ["__o"], {"__end": "__n"})
+    placed = own.join(ends.select("target", "__o", (F.col("__end") - F.col("__n")).alias("__at"), "__end"), ["target", "__o"])
+    each = placed.select("*", F.explode(F.sequence(F.floor(F.col("__at") / block), F.floor((F.col("__end") - 1) / block))).alias("block"))
+    first = F.greatest(F.col("block") * block - F.col("__at"), F.lit(0))
+    piece = F.col("__s").substr((first + 1).cast("int"), ((F.col("block") + 1) * block - F.col("__at") - first).cast("int"))
+    sorted_pieces = F.array_sort(F.collect_list(F.struct("__at", "__piece")))
+    return each.select("target", "block", "__at", piece.alias("__piece")).groupBy("target", F.col("block").cast("int").alias("block")).agg(F.array_join(F.transform(sorted_pieces, lambda x: x["__piece"]), "").alias("bases"))
+
+
+def _block_words(genome: DataFrame, size: int) -> DataFrame:
+    """(target, block, offset, word) of all words of a genome's blocks, those over block ends too."""
+    more = genome.select("target", (F.col("block") - 1).alias("block"), F.substring("bases", 1, size - 1).alias("__two"))
+    both = genome.join(more, ["target", "block"], "left").select("target", "block", F.concat("bases", F.coalesce("__two", F.lit(""))).alias("bases"))
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("bases") - size + 1, F.lit(1))))
-    words = genome.select("target", "block", at.alias("offset"), "bases").select("target", "block", "offset", F.col("bases").substr(F.col("offset"), F.lit(size)).alias("word")).where(F.length("word") == size)
+    return both.select("target", "block", at.alias("offset"), "bases").select("target", "block", "offset", F.col("bases").substr(F.col("offset"), F.lit(size)).alias("word")).where(F.length("word") == size)
+
+
+def seed_counts(reads: DataFrame, genome: DataFrame, seq: str, size: int) -> DataFrame:
+    """``reads`` that have them, with the number of all ``seed_hits``; no pair is formed."""
+    own = reads.withColumn("word", F.substring(seq, 1, size))
+    seeds = own.where(F.length("word") == size).select("word").distinct()
+    seeds = F.broadcast(seeds) if seeds.limit(SEEDS + 1).count() <= SEEDS else seeds
+    n = _block_words(genome, size).join(seeds, "word", "left_semi").groupBy("word").agg(F.count("*").alias("hits"))
+    return own.join(n, "word").drop("word")
+
+
+def seed_hits(reads: DataFrame, genome: DataFrame, seq: str, size: int, most: int) -> DataFrame:
+    """Exact matches of reads' first ``size`` bases in a genome's blocks, over block ends too, at most ``most`` each."""
+    words = _block_words(genome, size)
     hits = reads.withColumn("word", F.substring(seq, 1, size)).join(words, "word")
     w = W.partitionBy(*reads.columns).orderBy("target", "block", "offset")
     return hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r", "word")

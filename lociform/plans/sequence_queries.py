@@ -108,15 +108,15 @@ def variation_by_cycle(t):
 
 @query(f"WITH {READS}, g AS (SELECT doc_id % 5 AS target, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads WHERE doc_id < 100 GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS target, l_partkey % 900 AS pos FROM lineitem) SELECT l_orderkey, l_linenumber, substr(seq, CAST(pos AS INT) + 1, 6) AS bases FROM p JOIN g USING (target)")
 def genome_lookup(t):
-    g = reads(t).where("doc_id < 100").groupBy((F.col("doc_id") % 5).alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    g = rd.joined_blocks(reads(t).withColumn("name", F.col("doc_id") % 5), "name", "doc_id", "seq", 256)
     points = t["lineitem"].select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).alias("target"), (F.col("l_partkey") % 900).alias("pos"))
-    return rd.genome_get(points, rd.genome_blocks(g, "name", "seq", 256), "target", "pos", 6, 256).select("l_orderkey", "l_linenumber", "bases")
+    return rd.genome_get(points, g, "target", "pos", 6, 256).select("l_orderkey", "l_linenumber", "bases")
 
 
 @query(f"WITH {READS}, w AS (SELECT a.doc_id AS target, i AS offset_, substr(a.seq, i, 12) AS word FROM reads a, (SELECT unnest(range(1, 50)) AS i) WHERE a.doc_id < 60 AND length(substr(a.seq, i, 12)) = 12) SELECT r.doc_id, count(*) AS hits FROM reads r JOIN w ON w.word = substr(r.seq, 1, 12) GROUP BY r.doc_id")
 def seed_hits(t):
-    g = rd.genome_blocks(reads(t).where("doc_id < 60"), "doc_id", "seq")
-    return rd.seed_hits(reads(t).select("doc_id", "seq"), g, "seq", 12, 1 << 20).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    g = rd.genome_blocks(reads(t), "doc_id", "seq", 256)
+    return rd.seed_counts(reads(t).select("doc_id", "seq"), g, "seq", 12).groupBy("doc_id").agg(F.sum("hits").alias("hits"))
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_suppkey % 2 = 0) AS x, count(*) FILTER (l_suppkey % 10 = 1) AS y, round(CAST(count(*) FILTER (l_suppkey % 2 = 0) AS DOUBLE) / count(*) FILTER (l_suppkey % 10 = 1), 6) AS ratio, CASE WHEN CAST(count(*) FILTER (l_suppkey % 2 = 0) AS DOUBLE) / count(*) FILTER (l_suppkey % 10 = 1) >= 5 THEN 'female' ELSE 'male' END AS sex FROM lineitem GROUP BY l_returnflag")

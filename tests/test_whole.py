@@ -91,3 +91,21 @@ def test_peaks_of_all_targets(spark, orders):
 
 def test_exons_are_all_orders(spark, orders):
     assert sorted(tuple(r) for r in Tables(spark, orders).exons.select("target", "start", "end", "gene").collect()) == segments(ORDERS)
+
+
+def test_genome_of_all_documents(spark, tmp_path):
+    texts = {i: " ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "epsilon"], k=5 if i < 110 else 90)) for i in range(130)}
+    texts[129] = texts[128][300:]  # its seed begins deep in another text
+    points = [(i, 1, i, i * 37 % 900) for i in range(60)]
+    at = folder(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"), lineitem=(points, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long"))
+    seqs = {i: bases(x) for i, x in texts.items()}
+    places = Counter(s[i : i + 12] for s in seqs.values() for i in range(len(s) - 11))
+    assert {r["doc_id"]: r["hits"] for r in found(spark, "seed_hits", at)} == {i: places[s[:12]] for i, s in seqs.items() if len(s) >= 12}
+    genome = {g: "".join(seqs[i] for i in sorted(seqs) if i % 5 == g) for g in range(5)}
+    assert {r["l_orderkey"]: r["bases"] for r in found(spark, "genome_lookup", at)} == {k: genome[s % 5][p % 900 : p % 900 + 6] for k, _, s, p in points}
+
+
+def test_seeds_over_block_ends(spark):
+    genome = rd.genome_blocks(spark.createDataFrame([("g", "ACGTACGGTTCA")], "name string, seq string"), "name", "seq", 8)
+    hits = rd.seed_hits(spark.createDataFrame([("CGGTTCAA",)], "seq string"), genome, "seq", 5, 10).collect()
+    assert [(r["block"], r["offset"]) for r in hits] == [(0, 6)]
