@@ -1,10 +1,11 @@
 """Licence scans with a positional rare-token index.
 
 Templates are short public notices. The index keeps, for each template word, its
-postings (template, position). For a file the licence words with the highest inverse
-document frequency (counted over the whole corpus) are looked up, their positions in
-the file minus their positions in the template vote for an alignment, and an alignment
-counts only where one of the template's mandatory key phrases stands near it.
+postings (template, position). For a file the words of each template that could be confirmed are looked up, those with the
+highest inverse document frequency (counted over the whole corpus) first and as many as
+no alignment of FLOOR or more can miss. Their positions in the file minus their
+positions in the template propose alignments, and an alignment counts only where one of
+the template's mandatory key phrases stands near it.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     "proprietary": ("Copyright. All rights reserved. Proprietary and confidential", ("all rights reserved",)),
 }
-RARE = 8
 FLOOR = 0.5
 
 
@@ -108,16 +108,15 @@ def scan_words(words: list[bytes], index: dict, idf: dict[bytes, float]) -> dict
     for at, w in enumerate(words):
         if w in places:
             places[w].append(at)
-    rare = sorted(places, key=lambda w: (-idf.get(w, 0.0), w))[:RARE]
-    votes: dict[tuple[int, int], float] = defaultdict(float)
-    for w in rare:
-        for k, at in postings[w]:
-            if k in open_to:
-                for here in places[w]:
-                    votes[k, here - at] += idf.get(w, 0.0) + 1e-9
+    # an alignment of FLOOR or more misses too few places of a notice to miss all of these
+    proposed: set[tuple[int, int]] = set()
+    for k in open_to:
+        own = index["entries"][k][1]
+        rare = sorted(range(len(own)), key=lambda i: (-idf.get(own[i], 0.0), own[i], i))[: math.floor(len(own) * (1 - FLOOR)) + 1]
+        proposed.update((k, here - i) for i in rare for here in places.get(own[i], ()))
     best: dict[str, float] = {}
     n = len(words)
-    for (k, shift), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+    for k, shift in sorted(proposed):
         label, own, keys = index["entries"][k]
         score = sum(1 for i, w in enumerate(own) if 0 <= shift + i < n and words[shift + i] == w) / len(own)
         if score <= best.get(label, FLOOR - 1e-9):

@@ -109,3 +109,11 @@ def test_seeds_over_block_ends(spark):
     genome = rd.genome_blocks(spark.createDataFrame([("g", "ACGTACGGTTCA")], "name string, seq string"), "name", "seq", 8)
     hits = rd.seed_hits(spark.createDataFrame([("CGGTTCAA",)], "seq string"), genome, "seq", 5, 10).collect()
     assert [(r["block"], r["offset"]) for r in hits] == [(0, 6)]
+
+
+def test_licenses_of_several_notices():
+    index = licenses.compile_index()
+    text = " and so on ".join(licenses.TEMPLATES[k][0] for k in ("mit", "bsd", "mpl", "proprietary"))
+    mit = set(licenses.words_of(licenses.TEMPLATES["mit"][0]))
+    idf = {w: 9.0 if w in mit else 1.0 for w in index["postings"]}
+    assert licenses.scan(text, index, idf)[5] == "bsd,mit,mpl,proprietary"
