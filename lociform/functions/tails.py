@@ -164,17 +164,18 @@ def qfast(ps: list[float], compat: bool = False) -> float:
     n = len(ps)
     if not n:
         return math.nan
-    product = math.prod(ps)
-    if product <= 0:
+    if min(ps) <= 0:
         return 0.0
     if n == 1:
-        return product
-    x = -math.log(product)
-    total = term = product
+        return ps[0]
+    x = -math.fsum(map(math.log, ps))
+    if x <= 0:
+        return 1.0
+    terms = [-x]  # logarithms: the product of many p-values is below the least double
     for i in range(1, n - 1 if compat else n):
-        term *= x / i
-        total += term
-    return min(1.0, total)
+        terms.append(terms[-1] + math.log(x / i))
+    most = max(terms)
+    return min(1.0, math.exp(most) * math.fsum(math.exp(y - most) for y in terms))
 
 
 @F.pandas_udf(DoubleType())

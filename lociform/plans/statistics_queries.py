@@ -179,8 +179,7 @@ def fdr_combine(t):
   SELECT user_id, round(p_max, 6) AS p_max, round(p_min, 6) AS p_min, round(p_sum, 6) AS p_sum, round(l[n // 2 + 1], 6) AS p_median,
    round(least(1.0, pr * list_sum(list_transform(range(n), lambda i: pow(x, i) / exp(lgamma(CAST(i AS DOUBLE) + 1))))), 6) AS p_qfast FROM x""")
 def combine_p(t):
-    own = pv(t, False).where("event_id % 20 = 0")
-    return rounded(st.combined(own, "user_id", "p").where("p_min > 0"), "p_max", "p_min", "p_sum", "p_median", "p_qfast")
+    return rounded(st.combined(pv(t, False), "user_id", "p"), "p_max", "p_min", "p_sum", "p_median", "p_qfast")
 
 
 PAIRS = """pairs AS (SELECT l_partkey AS pos, count(*) FILTER (l_returnflag = 'A' AND l_linestatus = 'F') AS cma, count(*) FILTER (l_returnflag = 'A' AND l_quantity > 25) AS ca,

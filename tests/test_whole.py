@@ -117,3 +117,19 @@ def test_licenses_of_several_notices():
     mit = set(licenses.words_of(licenses.TEMPLATES["mit"][0]))
     idf = {w: 9.0 if w in mit else 1.0 for w in index["postings"]}
     assert licenses.scan(text, index, idf)[5] == "bsd,mit,mpl,proprietary"
+
+
+def test_all_p_values_are_combined(spark, tmp_path):
+    events = [(i, i % 3) for i in range(1, 2401)] + [(10007, 7), (10008, 7), (10011, 8)]
+    at = folder(spark, tmp_path, events=(events, "event_id long, user_id long"))
+    got = {r["user_id"]: r for r in found(spark, "combine_p", at)}
+    assert set(got) == {0, 1, 2, 7, 8} and got[7]["p_qfast"] == got[7]["p_min"] == 0
+    for u in (0, 1, 2, 8):
+        ps = sorted(i * 7919 % 10007 / 10007 for i, user in events if user == u)
+        x = -sum(Decimal(p).ln() for p in ps)
+        terms = [(-x).exp()]
+        for i in range(1, len(ps)):
+            terms.append(terms[-1] * x / i)
+        assert (got[u]["p_max"], got[u]["p_min"], got[u]["p_median"]) == pytest.approx((ps[-1], ps[0], ps[len(ps) // 2]), abs=1e-6)
+        assert got[u]["p_qfast"] == pytest.approx(float(sum(terms)), abs=2e-6)
+        assert got[u]["p_sum"] == pytest.approx(min(1, sum(ps)), abs=1e-6)
