@@ -107,7 +107,7 @@ def _trim_sql(col: str, left: int, right: int) -> str:
 
 @query(f"WITH r AS (SELECT doc_id, lower(substr(text, 1 + CAST(doc_id % 7 AS INT), 40)) AS seq FROM documents) SELECT doc_id, {_trim_sql('seq', 2, 2)} AS trimmed FROM r")
 def trim_adapter(t):
-    reads = t["documents"].select("doc_id", F.lower(F.col("text").substr((F.col("doc_id") % 7 + 1).cast("int"), F.lit(40))).alias("seq"))
+    reads = t["documents"].select("doc_id", F.lower("text").alias("seq"))
     return reads.select("doc_id", fl.trimmed(F.col("seq"), ADAPTERS, 2, 2).alias("trimmed"))
 
 

@@ -133,3 +133,10 @@ def test_all_p_values_are_combined(spark, tmp_path):
         assert (got[u]["p_max"], got[u]["p_min"], got[u]["p_median"]) == pytest.approx((ps[-1], ps[0], ps[len(ps) // 2]), abs=1e-6)
         assert got[u]["p_qfast"] == pytest.approx(float(sum(terms)), abs=2e-6)
         assert got[u]["p_sum"] == pytest.approx(min(1, sum(ps)), abs=1e-6)
+
+
+def test_trims_whole_texts(spark, tmp_path):
+    body = "Mention of " + "many words in a row " * 5
+    at = folder(spark, tmp_path, documents=([(1, "ention" + body + "the an"), (2, body + "last"), (3, "ment")], "doc_id long, text string"))
+    got = {r["doc_id"]: r["trimmed"] for r in found(spark, "trim_adapter", at)}
+    assert got == {1: body.lower(), 2: (body + "last").lower(), 3: "ment"}
