@@ -196,7 +196,8 @@ def methylation_rates(t):
 
 @query(f"WITH {MET}, reg AS (SELECT i AS region, i * 37 AS start, i * 37 + 50 AS \"end\" FROM (SELECT unnest(range(40)) AS i)) SELECT region, start, \"end\", sample, count(*) AS sites, CAST(sum(methylated) AS BIGINT) AS methylated, CAST(sum(unmethylated) AS BIGINT) AS unmethylated, round(100.0 * sum(methylated) / sum(methylated + unmethylated), 6) AS rate FROM met JOIN reg ON pos >= start AND pos < \"end\" GROUP BY ALL")
 def region_methylation(t):
-    reg = t.spark.range(40).select(F.lit(0).alias("k"), F.col("id").alias("region"), (F.col("id") * 37).alias("start"), (F.col("id") * 37 + 50).alias("end"))
+    last = t.obs.agg(F.max("pos")).first()[0]
+    reg = t.spark.range(0 if last is None else last // 37 + 1).select(F.lit(0).alias("k"), F.col("id").alias("region"), (F.col("id") * 37).alias("start"), (F.col("id") * 37 + 50).alias("end"))
     got = wi.region_rates(met(t).withColumn("k", F.lit(0)), reg, ["k"], "pos", ["sample"], 32).drop("k")
     return got.withColumn("rate", F.round("rate", 6))
 

@@ -140,3 +140,10 @@ def test_trims_whole_texts(spark, tmp_path):
     at = folder(spark, tmp_path, documents=([(1, "ention" + body + "the an"), (2, body + "last"), (3, "ment")], "doc_id long, text string"))
     got = {r["doc_id"]: r["trimmed"] for r in found(spark, "trim_adapter", at)}
     assert got == {1: body.lower(), 2: (body + "last").lower(), 3: "ment"}
+
+
+def test_regions_cover_all_sites(spark, tmp_path):
+    rows = [(p, "N", 4, "F" if p % 2 == 0 else "O", 5.0, 1) for p in (2, 40, 1700, 9000, 9001)]
+    at = folder(spark, tmp_path, lineitem=(rows, "l_partkey long, l_returnflag string, l_linenumber long, l_linestatus string, l_quantity double, l_orderkey long"))
+    want = Counter(i for p, *_ in rows for i in range(p // 37 + 1) if i * 37 <= p < i * 37 + 50)
+    assert {r["region"]: r["sites"] for r in found(spark, "region_methylation", at)} == want
