@@ -70,7 +70,7 @@ ALN = f"""aln AS (SELECT l_suppkey % 10 AS target, CAST(date_diff('day', {DAY},
 ANN = f"""ann AS (SELECT o_custkey % 10 AS target, CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) AS start,
   CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) + 30 AS "end", o_custkey AS gene, o_orderkey AS segment FROM orders)"""
 EXONS = f"""exons AS (SELECT o_custkey % 10 AS target, CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) AS start,
-  CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) + 3 AS "end", o_custkey % 500 AS gene FROM orders WHERE o_orderkey % 5 = 0)"""
+  CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) + 3 AS "end", o_custkey % 500 AS gene FROM orders)"""
 OBS = """obs AS (SELECT l_partkey AS pos, l_returnflag AS sample, CASE WHEN l_returnflag = 'N' THEN 'B' ELSE 'A' END AS grp, CAST(l_linenumber % 4 AS BIGINT) AS allele,
   l_linestatus AS strand, CAST(l_quantity AS BIGINT) AS quality, l_orderkey AS read, l_orderkey % 50 AS read_index FROM lineitem)"""
 SITES = "sites AS (SELECT event_type AS target, CAST(floor(epoch(ts)) AS BIGINT) AS pos, value, event_id AS id, user_id FROM events)"

@@ -105,7 +105,7 @@ def _trim_sql(col: str, left: int, right: int) -> str:
     return f"CASE WHEN {inside} THEN '' WHEN length({col}) - ({lead}) - ({tail}) > 0 THEN substr({col}, ({lead}) + 1, length({col}) - ({lead}) - ({tail})) ELSE '' END"
 
 
-@query(f"WITH r AS (SELECT doc_id, lower(substr(text, 1 + CAST(doc_id % 7 AS INT), 40)) AS seq FROM documents) SELECT doc_id, {_trim_sql('seq', 2, 2)} AS trimmed FROM r")
+@query(f"WITH r AS (SELECT doc_id, lower(text) AS seq FROM documents) SELECT doc_id, {_trim_sql('seq', 2, 2)} AS trimmed FROM r")
 def trim_adapter(t):
     reads = t["documents"].select("doc_id", F.lower("text").alias("seq"))
     return reads.select("doc_id", fl.trimmed(F.col("seq"), ADAPTERS, 2, 2).alias("trimmed"))

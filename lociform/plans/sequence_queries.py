@@ -12,8 +12,8 @@ from lociform.operators import windows as wi
 from lociform.plans.bindings import ALN, EXONS, OBS, SITES, Tables
 from lociform.plans.registry import query
 
-SEQ = "substr(translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtacgtac'), 1, 60)"
-READS = f"reads AS (SELECT doc_id, upper(regexp_replace({SEQ}, '[^acgt]', '', 'g')) AS seq, substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 60) AS quality FROM documents)"
+SEQ = "translate(lower(text), 'bdefhijklmnopqrsuvwxyz', 'acgtacgtacgtacgtacgtac')"
+READS = f"reads AS (SELECT doc_id, upper(regexp_replace({SEQ}, '[^acgt]', '', 'g')) AS seq, regexp_replace(text, '[^!-~]', '', 'g') AS quality FROM documents)"
 
 
 def reads(t: Tables):
@@ -26,7 +26,8 @@ def tally_duplicates(t):
     return rd.tally(reads(t), "seq")
 
 
-@query(f"""WITH {READS} SELECT w AS word, CAST(sum(len(list_filter(range(1, length(seq) - length(w) + 2), lambda i: substr(seq, i, length(w)) = w))) AS BIGINT) AS n FROM reads, (SELECT unnest(['A', 'C', 'G', 'T', 'CG', 'CA', 'AA']) AS w) GROUP BY w""")
+@query(f"""WITH {READS}, e AS (SELECT substr(seq, i, 2) AS here FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM reads)), h AS (SELECT here, count(*) AS n FROM e GROUP BY here)
+  SELECT w AS word, CAST(sum(CASE WHEN starts_with(here, w) THEN n ELSE 0 END) AS BIGINT) AS n FROM h, (SELECT unnest(['A', 'C', 'G', 'T', 'CG', 'CA', 'AA']) AS w) GROUP BY w""")
 def base_composition(t):
     return rd.composition(reads(t), "seq", ["A", "C", "G", "T", "CG", "CA", "AA"])
 
@@ -106,14 +107,14 @@ def variation_by_cycle(t):
     return t.obs.groupBy("read_index", "sample").agg(n(F.col("allele") != 0).alias("variants"), n(F.col("allele") == 0).alias("reference"))
 
 
-@query(f"WITH {READS}, g AS (SELECT doc_id % 5 AS target, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads WHERE doc_id < 100 GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS target, l_partkey % 900 AS pos FROM lineitem) SELECT l_orderkey, l_linenumber, substr(seq, CAST(pos AS INT) + 1, 6) AS bases FROM p JOIN g USING (target)")
+@query(f"WITH {READS}, g AS (SELECT doc_id % 5 AS target, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS target, l_partkey % 900 AS pos FROM lineitem) SELECT l_orderkey, l_linenumber, substr(seq, CAST(pos AS INT) + 1, 6) AS bases FROM p JOIN g USING (target)")
 def genome_lookup(t):
     g = rd.joined_blocks(reads(t).withColumn("name", F.col("doc_id") % 5), "name", "doc_id", "seq", 256)
     points = t["lineitem"].select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 5).alias("target"), (F.col("l_partkey") % 900).alias("pos"))
     return rd.genome_get(points, g, "target", "pos", 6, 256).select("l_orderkey", "l_linenumber", "bases")
 
 
-@query(f"WITH {READS}, w AS (SELECT a.doc_id AS target, i AS offset_, substr(a.seq, i, 12) AS word FROM reads a, (SELECT unnest(range(1, 50)) AS i) WHERE a.doc_id < 60 AND length(substr(a.seq, i, 12)) = 12) SELECT r.doc_id, count(*) AS hits FROM reads r JOIN w ON w.word = substr(r.seq, 1, 12) GROUP BY r.doc_id")
+@query(f"WITH {READS}, w AS (SELECT substr(seq, i, 12) AS word FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM reads)) SELECT r.doc_id, count(*) AS hits FROM reads r JOIN w ON w.word = substr(r.seq, 1, 12) GROUP BY r.doc_id")
 def seed_hits(t):
     g = rd.genome_blocks(reads(t), "doc_id", "seq", 256)
     return rd.seed_counts(reads(t).select("doc_id", "seq"), g, "seq", 12).groupBy("doc_id").agg(F.sum("hits").alias("hits"))
@@ -151,7 +152,7 @@ def previous_distance(t):
 
 def _anchor_sql(last: bool) -> str:
     a = "o.e" if last else "a.anchor"
-    return f"""WITH RECURSIVE {EXONS}, o AS (SELECT target, start AS s, "end" AS e, row_number() OVER (PARTITION BY target ORDER BY start, "end") AS r FROM exons WHERE target < 3),
+    return f"""WITH RECURSIVE {EXONS}, o AS (SELECT target, start AS s, "end" AS e, row_number() OVER (PARTITION BY target ORDER BY start, "end") AS r FROM exons),
   a AS (SELECT target, r, s AS start, e, e AS anchor, 1 AS run FROM o WHERE r = 1 UNION ALL SELECT o.target, o.r, CASE WHEN o.s - a.anchor <= 4 THEN a.start ELSE o.s END, o.e, CASE WHEN o.s - a.anchor <= 4 THEN {a} ELSE o.e END, a.run + CASE WHEN o.s - a.anchor <= 4 THEN 0 ELSE 1 END
    FROM a JOIN o ON o.target = a.target AND o.r = a.r + 1) SELECT target, min(start) AS start, max(e) AS "end", count(*) AS n FROM a GROUP BY target, run"""
 
@@ -194,7 +195,7 @@ def methylation_rates(t):
     return met(t).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"WITH {MET}, reg AS (SELECT i AS region, i * 37 AS start, i * 37 + 50 AS \"end\" FROM (SELECT unnest(range(40)) AS i)) SELECT region, start, \"end\", sample, count(*) AS sites, CAST(sum(methylated) AS BIGINT) AS methylated, CAST(sum(unmethylated) AS BIGINT) AS unmethylated, round(100.0 * sum(methylated) / sum(methylated + unmethylated), 6) AS rate FROM met JOIN reg ON pos >= start AND pos < \"end\" GROUP BY ALL")
+@query(f"WITH {MET}, reg AS (SELECT i AS region, i * 37 AS start, i * 37 + 50 AS \"end\" FROM (SELECT unnest(range((SELECT max(pos) // 37 + 1 FROM obs))) AS i)) SELECT region, start, \"end\", sample, count(*) AS sites, CAST(sum(methylated) AS BIGINT) AS methylated, CAST(sum(unmethylated) AS BIGINT) AS unmethylated, round(100.0 * sum(methylated) / sum(methylated + unmethylated), 6) AS rate FROM met JOIN reg ON pos >= start AND pos < \"end\" GROUP BY ALL")
 def region_methylation(t):
     last = t.obs.agg(F.max("pos")).first()[0]
     reg = t.spark.range(0 if last is None else last // 37 + 1).select(F.lit(0).alias("k"), F.col("id").alias("region"), (F.col("id") * 37).alias("start"), (F.col("id") * 37 + 50).alias("end"))

@@ -174,10 +174,11 @@ def fdr_combine(t):
     return rounded(st.fdr(parts, ["p"], "event_id", 0.05, 0.99999), "q").select("event_id", "q")
 
 
-@query(f"""WITH {PGOOD}, g AS (SELECT user_id, max(p) AS p_max, min(p) AS p_min, least(1.0, sum(p)) AS p_sum, list_sort(list(p)) AS l FROM pv WHERE event_id % 20 = 0 GROUP BY user_id),
-  x AS (SELECT *, -ln(list_product(l)) AS x, list_product(l) AS pr, len(l) AS n FROM g WHERE list_min(l) > 0)
+@query(f"""WITH {PGOOD}, g AS (SELECT user_id, max(p) AS p_max, min(p) AS p_min, least(1.0, sum(p)) AS p_sum, list_sort(list(p)) AS l FROM pv GROUP BY user_id),
+  x AS (SELECT *, CASE WHEN p_min > 0 THEN -list_sum(list_transform(l, lambda p: ln(CASE WHEN p > 0 THEN p ELSE 1 END))) END AS x, len(l) AS n FROM g),
+  y AS (SELECT *, list_transform(range(n), lambda i: -x + i * ln(x) - lgamma(CAST(i AS DOUBLE) + 1)) AS terms FROM x)
   SELECT user_id, round(p_max, 6) AS p_max, round(p_min, 6) AS p_min, round(p_sum, 6) AS p_sum, round(l[n // 2 + 1], 6) AS p_median,
-   round(least(1.0, pr * list_sum(list_transform(range(n), lambda i: pow(x, i) / exp(lgamma(CAST(i AS DOUBLE) + 1))))), 6) AS p_qfast FROM x""")
+   round(CASE WHEN x IS NULL THEN 0.0 ELSE least(1.0, exp(list_max(terms)) * list_sum(list_transform(terms, lambda y: exp(y - list_max(terms))))) END, 6) AS p_qfast FROM y""")
 def combine_p(t):
     return rounded(st.combined(pv(t, False), "user_id", "p"), "p_max", "p_min", "p_sum", "p_median", "p_qfast")
 

@@ -7,7 +7,6 @@ from decimal import Decimal
 
 import pytest
 
-from lociform.llm import licenses
 from lociform.operators import reads as rd
 from lociform.plans.bindings import Tables
 from lociform.plans.catalog import QUERIES
@@ -111,14 +110,6 @@ def test_seeds_over_block_ends(spark):
     assert [(r["block"], r["offset"]) for r in hits] == [(0, 6)]
 
 
-def test_licenses_of_several_notices():
-    index = licenses.compile_index()
-    text = " and so on ".join(licenses.TEMPLATES[k][0] for k in ("mit", "bsd", "mpl", "proprietary"))
-    mit = set(licenses.words_of(licenses.TEMPLATES["mit"][0]))
-    idf = {w: 9.0 if w in mit else 1.0 for w in index["postings"]}
-    assert licenses.scan(text, index, idf)[5] == "bsd,mit,mpl,proprietary"
-
-
 def test_all_p_values_are_combined(spark, tmp_path):
     events = [(i, i % 3) for i in range(1, 2401)] + [(10007, 7), (10008, 7), (10011, 8)]
     at = folder(spark, tmp_path, events=(events, "event_id long, user_id long"))
