@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, its lineage cut.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a local one is set
-    only where a session names none, as in tests on one machine. Partitions are joined
-    to four for each core, or an eighth of the shuffle partitions if that is more: each
-    file costs the writer several calls to the store.
+    The folder is the one named by ``spark.checkpoint.dir``; a local one is set only where
+    a session on one machine names none, as in tests, and a cluster without one is refused.
+    Partitions are left as they are: those of scans and of adaptive shuffles follow the bytes.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lociform-checkpoint-"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(4 * sc.defaultParallelism, parts // 8)).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+#: A batch is cut into parts of at most so many bytes and rows, so that what is made of long texts stays small.
+PART_BYTES, PART_ROWS = 4 << 20, 2048
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch; a slice holds one row at least."""
+    sizes = sum((np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)), np.zeros(batch.num_rows, np.int64))
+    upto, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART_BYTES, "right"))
+        end = max(at + 1, min(full, at + PART_ROWS))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
@@ -40,9 +57,7 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 2048
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in parts_of(batch):
                 got = rows({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 

@@ -127,6 +127,49 @@ def test_pii_redaction(spark):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+def planted(n=60):
+    """Texts with one span each: (kind, text, whether it is personal data)."""
+    rnd = random.Random(5)
+    some = lambda chars, k: "".join(rnd.choice(chars) for _ in range(k))
+    num = lambda k: some("0123456789", k)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    out = []
+    for i in range(n):
+        out.append(("secret", f'the token = "{some("0123456789abcdef", 38)}a1" was found', True))
+        out.append(("secret", f"api_key: sk-{some(alnum, 28)}a1B then", True))
+        out.append(("secret", f"see commit {some('0123456789abcdef', 38)}a1 for it", False))
+        out.append(("secret", f"a slug like-this-long-title-of-{1900 + i}-for-you stands", False))
+        out.append(("ssn", f"his SSN {100 + i}-{num(1)}3-{num(3)}4 is", True))
+        out.append(("ssn", f"order {900 + i % 90}-00-{num(4)} came", False))
+        out.append(("local_phone", f"call (2{num(2)}) 555-{num(4)} now", True))
+        out.append(("iban", f"IBAN DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", True))
+        out.append(("person", f"signed, Dr. {rnd.choice(['Maria', 'John', 'Anna'])} {some('BCDFG', 1)}{some('aeiou', 5)}", True))
+        out.append(("none", "only a short text with 12 words", False))
+    return out
+
+
+def test_votes_accept_planted_spans(spark):
+    texts = planted()
+    got = {r["doc_id"]: {s["kind"] for s in r["found"]} for r in pii.find_pii(frame(spark, [t for _, t, _ in texts])).collect()}
+    for kind in {k for k, _, true in texts if true}:
+        own = [(kind in got[i], true) for i, (k, _, true) in enumerate(texts) if k == kind]
+        assert sum(hit for hit, true in own if true) >= 0.95 * sum(true for _, true in own), kind
+        assert sum(hit for hit, true in own if not true) <= 0.05 * len(own), kind
+    assert all(not got[i] for i, (k, _, _) in enumerate(texts) if k == "none")
+
+
+def test_gazetteer_as_a_table(spark):
+    names = spark.createDataFrame([("person", "Zebulon"), ("person", None), (None, "x")], "kind string, entry string")
+    assert "zebulon" in pii.gazetteer_of(names)["person"] and "zebulon" not in pii.gazetteer_of(None)["person"]
+    was, pii.ENTRIES = pii.ENTRIES, 0
+    try:
+        with pytest.raises(ValueError):
+            pii.gazetteer_of(names)
+    finally:
+        pii.ENTRIES = was
+    assert pii.find_pii(frame(spark, ["Mr. Zebulon Pike", None]), entries=names).count() == 2
+
+
 def test_votes_learn_reliability():
     """Of two labelers one follows the truth and one is noise."""
     rnd = random.Random(0)
@@ -334,3 +377,11 @@ def test_mixing_prefixes_and_epochs(spark):
 
 def test_mixing_empty(spark):
     assert mixed(spark, [])[1].count() == 0
+def test_licenses_of_several_notices():
+    index = licenses.compile_index()
+    text = " and so on ".join(licenses.TEMPLATES[k][0] for k in ("mit", "bsd", "mpl", "proprietary"))
+    mit = set(licenses.words_of(licenses.TEMPLATES["mit"][0]))
+    idf = {w: 9.0 if w in mit else 1.0 for w in index["postings"]}
+    assert licenses.scan(text, index, idf)[5] == "bsd,mit,mpl,proprietary"
+
+
