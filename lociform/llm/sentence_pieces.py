@@ -1,32 +1,130 @@
 """SentencePiece encoding and decoding as a shortest path in a weighted transducer.
 
-The model compiles to three machines: the normaliser (spaces to the space mark, a mark in
-front), the pieces (one arc for each piece, and byte arcs for a character without one),
-and, for BPE models, an acceptor of neighbouring pieces: two pieces may follow each other
-only if encoding their joined text gives just these two, which is what makes an accepted
-path the one that merging in order of rank would give. An input is composed with them
-lazily and the path of least weight in the tropical semiring is taken: with unigram models
-the weights are negative scores, with BPE models each piece weighs 1 and the acceptor
-leaves one path. No piece holds a space mark behind another character and none a line
-feed, so paths are taken word by word and kept in a bounded table.
+A model compiles to three machines.
+
+* The normaliser: rules of the model's character map, taken longest first, an identity arc
+  for every other character, and the state that white space needs (start, behind a space,
+  elsewhere). It is deterministic, so a text has one output.
+* The pieces, a trie: one arc for each piece, and for a character that is no piece an arc
+  that puts out its bytes (or the unknown piece).
+* For BPE models, an acceptor of neighbouring pieces: one may follow another only if
+  encoding their joined text gives just these two, which makes an accepted path the one
+  that merging in order of rank gives. Unigram models have a single state here.
+
+An input is composed with them lazily, arc by arc from left to right, and the path of
+least weight in the tropical semiring is taken: weights are negative scores for unigram
+models and the number of ids for BPE models. A place in the text holds one state of the
+acceptor: two accepted paths to it would be two encodings of the same prefix. Where
+no piece of a BPE model holds a space mark behind another character and none a line feed,
+paths are taken word by word and kept in a table that is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociform.llm.common import table
+from lociform.llm.common import parts_of, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "\u2581"
-NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_000_000
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Bytes of words and their ids that a process keeps; longer words than ``LONG`` are never kept.
+KEPT_BYTES, LONG = 128 << 20, 512
+#: Pairs of pieces whose acceptance a process keeps: about 60 MB.
+KEPT_PAIRS = 500_000
+#: How much worse than the worst piece an unknown character is in a unigram model.
+PENALTY = 10.0
+
+
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules (text -> replacement) of a compiled character map.
+
+    The map is a double array of 32-bit cells behind its size, then the replacements, each
+    closed by a zero byte.
+    """
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    cells = np.frombuffer(blob, "<u4", size // 4, 4).tolist()
+    texts = blob[4 + size :]
+    jump = lambda cell: (cell >> 10) << ((cell & 512) >> 6)
+    rules: dict[str, str] = {}
+    stack = [(jump(cells[0]), b"")]
+    while stack:
+        base, key = stack.pop()
+        for byte in range(1, 256):
+            at = base ^ byte
+            if at >= len(cells) or cells[at] & 0x800000FF != byte:
+                continue
+            below, longer = at ^ jump(cells[at]), key + bytes([byte])
+            if cells[at] >> 8 & 1:
+                start = cells[below] & 0x7FFFFFFF
+                rules[longer.decode("utf-8", "surrogateescape")] = texts[start : texts.index(b"\0", start)].decode()
+            stack.append((below, longer))
+    return rules
+
+
+class Normaliser:
+    """The normalising transducer of a model."""
+
+    def __init__(self, spec, suffix: bool, kept: set[str]):
+        self.prefix, self.suffix = spec.add_dummy_prefix, suffix
+        self.trims = spec.remove_extra_whitespaces
+        self.mark = MARK if spec.escape_whitespaces else " "
+        self.kept = kept
+        self.rules = character_map(spec.precompiled_charsmap) | {k: k for k in kept}
+        self.longest: dict[str, int] = {}
+        for k in self.rules:
+            self.longest[k[0]] = max(self.longest.get(k[0], 0), len(k))
+        #: Whether a text changes in nothing but its spaces.
+        self.plain = not self.rules and not self.trims and not suffix and self.mark == MARK
+
+    def chunks(self, text: str):
+        """What each longest rule or single character puts out."""
+        rules, longest, at, n = self.rules, self.longest, 0, len(text)
+        while at < n:
+            for k in range(min(longest.get(text[at], 0), n - at), 0, -1):
+                if (got := rules.get(text[at : at + k])) is not None:
+                    break
+            else:
+                k, got = 1, text[at]
+            yield got
+            at += k
+
+    def __call__(self, text: str) -> str:
+        """The text with its white space marked."""
+        if not text:
+            return ""
+        out: list[str] = []
+        after_space = self.trims
+        for got in self.chunks(text):
+            if after_space:
+                got = got.lstrip(" ")
+            if got:
+                out.append(got)
+                after_space = self.trims and got[-1] == " "
+        joined = "".join(out)
+        if self.trims:
+            joined = joined.rstrip(" ")
+            if not joined:
+                return ""
+        if self.prefix:
+            joined = joined + " " if self.suffix else " " + joined
+        return joined.replace(" ", self.mark)
+
+
+_SINGLE = struct.Struct("f")
+
+
+def single(x: float) -> float:
+    """``x`` in single precision."""
+    return _SINGLE.unpack(_SINGLE.pack(x))[0]
 
 
 class Transducer:
@@ -37,62 +135,74 @@ class Transducer:
 
         proto = pb.ModelProto()
         proto.ParseFromString(model)
-        if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.normalizer_spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser that keeps white space is supported")
-        self.prefix = proto.normalizer_spec.add_dummy_prefix
-        self.bpe = proto.trainer_spec.model_type == 2
+        if proto.trainer_spec.model_type not in (1, 2):
+            raise ValueError("only unigram and BPE models are supported")
         pieces = list(proto.pieces)
+        self.bpe = proto.trainer_spec.model_type == 2
+        if self.bpe and any(p.type == UNUSED for p in pieces):
+            raise ValueError("BPE models with unused pieces are not supported")
+        self.users = {p.piece for p in pieces if p.type == USER}
+        self.normaliser = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix, self.users)
+        self.prefix, self.suffix = self.normaliser.prefix, self.normaliser.suffix
         self.ids = {p.piece: i for i, p in enumerate(pieces) if p.type in (NORMAL, USER)}
-        self.bytes_of = {int(p.piece[3:5], 16): i for i, p in enumerate(pieces) if p.type == BYTE}
+        self.bytes_of = {int(p.piece[3:5], 16): i for i, p in enumerate(pieces) if p.type == BYTE} if proto.trainer_spec.byte_fallback else {}
         self.unknown = next(i for i, p in enumerate(pieces) if p.type == UNKNOWN)
-        self.cost = [-p.score for p in pieces]
-        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " \u2047 ".encode() if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in pieces]
-        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        inner = [p for p in self.ids if MARK in p.lstrip(MARK) or "\n" in p]
-        self.by_word = not inner
-        order = sorted(self.ids.items(), key=lambda x: (self.cost[x[1]], x[1]))
-        self.rank = {}
+        unknown = (proto.trainer_spec.unk_surface or " \u2047 ").encode()
+        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else unknown if p.type == UNKNOWN else p.piece.replace(MARK, " ").encode() for p in pieces]
+        scores = [p.score for p in pieces if p.type == NORMAL] or [0.0]
+        self.unknown_cost = single(PENALTY - min(scores))
+        cost = {p.piece: 1.0 if self.bpe else 0.1 - len(p.piece.encode()) * max(scores) if p.type == USER else -p.score for p in pieces}
+        # runs of unknown characters, which reach over words, are one id unless they are bytes; sums of weights reach over words
+        self.by_word = self.bpe and self.prefix and self.normaliser.plain and bool(self.bytes_of) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
+        order = sorted((-pieces[i].score, i, p) for p, i in self.ids.items() if p not in self.users)
+        self.rank: dict[str, int] = {}
         last, r = None, 0
-        for k, (p, i) in enumerate(order):
-            if self.cost[i] != last:
-                last, r = self.cost[i], k
+        for k, (c, _, p) in enumerate(order):
+            if c != last:
+                last, r = c, k
             self.rank[p] = r
-        if self.bpe:
-            self.made: dict[str, tuple[str, str]] = {}
-            self.arcs = {p for p in self.ids if self._merged(p) == [p]}
-        else:
-            self.arcs = set(self.ids)
-        self.may: dict[tuple[str, str], bool] = {}
+        self.made: dict[str, tuple[str, str]] = {}
+        arcs = [p for p in self.ids if p in self.users or not self.bpe or self._merged(p) == [p]]
+        #: Trie of the pieces: by the next character, the nodes below it and the arc (piece, weight) that ends there.
+        self.trie: dict[str, list] = {}
+        for p in arcs:
+            node = self.trie
+            for c in p:
+                end = node.setdefault(c, [{}, None])
+                node = end[0]
+            end[1] = (p, cost[p])
+        #: Which pieces may follow a piece, as far as it was asked.
+        self.may: dict[str, dict[str, bool]] = {}
+        self.asked = 0
+        #: Pairs of characters that stand side by side in a piece.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.kept = 0
 
     def _merged(self, text: str) -> list[str]:
-        """Merging in order of rank, leftmost first; remembers how each piece was made."""
-        parts = list(text)
+        """Merging in order of rank, leftmost first; remembers how a text that ends as one piece was made."""
+        parts, rank = list(text), self.rank
         while len(parts) > 1:
-            best = min(((self.rank[parts[k] + parts[k + 1]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.rank), default=None)
+            best = min(((rank[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in rank), default=None)
             if best is None:
                 break
             k = best[1]
+            if len(parts) == 2:
+                self.made[text] = (parts[0], parts[1])
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            if len(parts) == 1:
-                self.made[text] = (text[: len(text) - len(right)], right) if (right := self._right(text)) else ("", "")
         return parts
 
-    def _right(self, text: str) -> str:
-        """The right part of the last merge that makes ``text``."""
-        parts = list(text)
-        while len(parts) > 2:
-            _, k = min((self.rank[parts[k] + parts[k + 1]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.rank)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts[-1]
-
     def follows(self, a: str, b: str) -> bool:
         """Whether the acceptor lets piece ``b`` stand behind piece ``a``.
 
         The merges that made both are undone, the latest first; if at any time the parts
-        at the seam would have merged before the next part was made, it doesn't.
+        at the seam would have merged before the next part was made, it doesn't. Nothing
+        merges with a piece that the model's user has set.
         """
         rank, made = self.rank, self.made
+        if a in self.users or b in self.users:
+            return True
         limit = 1 << 60
         while True:
             joined = rank.get(a + b)
@@ -109,100 +219,114 @@ class Transducer:
 
     def path(self, text: str) -> list[int]:
         """Ids on the path of least weight through ``text``, which is normalised."""
-        ids, out = self.ids, []
-        for p in self._only_path(text) if self.bpe else self._least_path(text):
+        ids, out, unknown = self.ids, [], False
+        for p in self.least_path(text):
             if (i := ids.get(p)) is not None:
                 out.append(i)
             elif self.bytes_of:
                 out += [self.bytes_of[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
+            elif not unknown:
+                out.append(self.unknown)  # unknown characters in a row are one
+            unknown = i is None
         return out
 
-    def _only_path(self, text: str) -> list[str]:
-        """The path that the acceptor leaves: the first that reaches the end is the least.
+    def least_path(self, text: str) -> list[str]:
+        """The pieces, and characters that are none, on the path of least weight.
 
-        A place is reached with the same last piece on every path, so a place that was
-        left without success is never tried again.
+        Arcs are relaxed from left to right, of equal paths to a place the first stays; weights
+        of unigram paths are kept in single precision, which decides between near ties. In a
+        BPE model the places that lie inside a piece of the model's user are not left.
         """
-        arcs, beginnings, may, n = self.arcs, self.beginnings, self.may, len(text)
-        taken: list[str] = []
-        choices: list[list[str]] = []
-        dead: set[int] = set()
-        at, last = 0, ""
-        while at < n:
-            options = []
-            j = at + 1
-            p = text[at:j]
-            while p in beginnings:
-                if p in arcs:
-                    options.append(p)
-                if j == n:
-                    break
-                j += 1
-                p = text[at:j]
-            if not options:
-                options = [text[at]]
-            while True:
-                while options:
-                    p = options.pop()
-                    if at + len(p) in dead:
-                        continue
-                    pair = (last, p)
-                    ok = may.get(pair)
-                    if ok is None:
-                        if len(may) >= KEPT_PAIRS:
-                            may.clear()
-                        ok = may[pair] = not last or self.follows(last, p)
-                    if ok:
-                        break
-                else:
-                    dead.add(at)
-                    at -= len(taken.pop())
-                    last = taken[-1] if taken else ""
-                    options = choices.pop()
-                    continue
-                break
-            taken.append(p)
-            choices.append(options)
-            at += len(p)
-            last = p
-        return taken
-
-    def _least_path(self, text: str) -> list[str]:
-        """Relaxation from left to right, for weights that don't depend on neighbours."""
-        n = len(text)
-        weight = [0.0] + [float("inf")] * n
+        trie, may, bpe, n = self.trie, self.may, self.bpe, len(text)
+        inside = self._inside_users(text) if self.users and bpe else ()
+        far = float("inf")
+        weight = [far] * (n + 1)
+        weight[0] = 0.0
         back = [""] * (n + 1)
         for i in range(n):
-            j = i + 1
-            while j <= n and text[i:j] in self.beginnings:
-                p = text[i:j]
-                if p in self.arcs and (w := weight[i] + self.cost[self.ids[p]]) < weight[j]:
-                    weight[j], back[j] = w, p
+            if (w := weight[i]) == far:
+                continue
+            last, end, j = back[i], trie.get(text[i]), i + 1
+            after = may.get(last)
+            # a character that is no piece is an arc too; then the pieces, the shortest first
+            arc = end[1] if end is not None and end[1] is not None else self._raw(text[i])
+            while True:
+                if arc is not None:
+                    p, c = arc
+                    to = w + c if bpe else single(w + c)
+                    if to < weight[j] and not (inside and (inside[i] or inside[j] or any(inside[i + 1 : j]) != (p in self.users and len(p) > 1))):
+                        if not bpe:
+                            weight[j], back[j] = to, p
+                        elif self._asked(last, p) if after is None or (ok := after.get(p)) is None else ok:
+                            weight[j], back[j] = to, p
+                if end is None or j == n or (end := end[0].get(text[j])) is None:
+                    break
+                arc = end[1]
                 j += 1
-            if text[i] not in self.arcs and (w := weight[i] + 1e6) < weight[i + 1]:
-                weight[i + 1], back[i + 1] = w, text[i]
         out, at = [], n
         while at:
             out.append(back[at])
             at -= len(back[at])
         return out[::-1]
 
+    def _raw(self, c: str) -> tuple[str, float]:
+        """The arc of a character that is no piece."""
+        return c, float(len(c.encode("utf-8", "surrogatepass"))) if self.bpe else self.unknown_cost
+
+    def _asked(self, a: str, b: str) -> bool:
+        """``follows``, remembered."""
+        if self.asked >= KEPT_PAIRS:
+            for known in self.may.values():
+                known.clear()
+            self.asked = 0
+        self.asked += 1
+        ok = self.may.setdefault(a, {})[b] = not a or self.follows(a, b)
+        return ok
+
+    def _inside_users(self, text: str) -> list[bool]:
+        """Which places lie inside the leftmost longest pieces of the model's user."""
+        found, at = [False] * (len(text) + 1), 0
+        longest = max(map(len, self.users))
+        while at < len(text):
+            k = next((k for k in range(min(longest, len(text) - at), 0, -1) if text[at : at + k] in self.users), 1)
+            for i in range(at + 1, at + k):
+                found[i] = True
+            at += k
+        return found
+
     def _word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            if len(self.words) >= KEPT_WORDS:
+        """Ids of a word. It is cut where no piece holds the two characters side by side: no path differs by that."""
+        text, start, got, inner = word if word[:1] == "\n" else MARK + word, 0, b"", self.inner
+        for k in range(1, len(text) + 1):
+            if text[k - 1 : k + 1] not in inner:
+                part = text[start:k]
+                known, name = (self.words, part[1:]) if part[0] == MARK else (self.parts, part)
+                if (ids := known.get(name)) is None:
+                    ids = self.path(part)
+                    ids = self._keep(known, name, struct.pack(f"<{len(ids)}i", *ids))
+                if k == len(text) and not start:
+                    return ids
+                got += ids
+                start = k
+        return self._keep(self.words, word, got)
+
+    def _keep(self, table: dict[str, bytes], word: str, got: bytes) -> bytes:
+        if len(word) <= LONG:
+            size = 200 + 4 * len(word) + len(got)
+            if self.kept + size > KEPT_BYTES:
                 self.words.clear()
-            text = word if word[:1] == "\n" else MARK + word
-            got = self.words[word] = np.array(self.path(text), "<i4").tobytes()
+                self.parts.clear()
+                self.kept = 0
+            table[word] = got
+            self.kept += size
         return got
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
-        if not self.by_word or not self.prefix:
-            return np.array(self.path((MARK if self.prefix else "") + text.replace(" ", MARK)), "<i4").tobytes()
+        if not self.by_word:
+            return np.array(self.path(self.normaliser(text)), "<i4").tobytes()
         words = text.replace(MARK, " ").replace("\n", " \n").split(" ")
         if "" in words:
             words = _runs(words)
@@ -210,7 +334,7 @@ class Transducer:
         try:
             return b"".join([kept[w] for w in words])
         except KeyError:
-            return b"".join([self._word(w) for w in words])
+            return b"".join([got if (got := kept.get(w)) is not None else self._word(w) for w in words])
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; a null or empty text has none."""
@@ -220,7 +344,9 @@ class Transducer:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         surface = self.surface
         raw = b"".join([surface[i] for i in ids])
-        if self.prefix and raw[:1] == b" ":
+        if self.prefix and self.suffix:
+            raw = raw[:-1] if raw[-1:] == b" " else raw
+        elif self.prefix and raw[:1] == b" ":
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
@@ -276,8 +402,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches):
         t = compiled(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts_of(batch):
                 encoded = [t.encode_bytes(x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(e) // 4 for e in encoded], pa.int64()), _ids(encoded)], names=["id", "n_tokens", "ids"])
 
@@ -292,8 +417,7 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "id", ids_col: str =
     def run(batches):
         t = compiled(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts_of(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
     kind = dict(encoded.dtypes)[id_col]
@@ -311,8 +435,7 @@ def op8_sentence_pieces(spark, sf_dir: str, model_path: str = MODEL) -> DataFram
     def run(batches):
         t = compiled(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in parts_of(batch):
                 out: dict[str, list] = {n: [] for n in ("n_tokens", "ids_sha256", "decoded_sha256", "round_trip")}
                 for text in part.column(1).to_pylist():
                     ids = t.encode_bytes(text or "")
