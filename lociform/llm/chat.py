@@ -24,20 +24,23 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Participants are the roles of a conversation other than ``system`` and null; a
     conversation without any gives no rows. Turns of a null role are rendered as system
-    turns. A null text is empty. Markers inside a text are broken up by a space. Rows are
+    turns. A null text is empty. Markers inside a text or a name are broken up by a space, and
+    line feeds and other control characters of a rendered name become spaces, so that neither
+    opens a turn; the columns speaker and name keep the role as it is. Rows are
     ordered by turn, then role, then text; null turns come first, repeated rows follow
     each other. ``start`` and the mask count characters of the whole rendering, ends
     exclusive; turns that are not the speaker's have an empty mask at their start.
     A null conv_id is a conversation of its own. Other columns are not read.
     """
-    clean = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(OPEN), F.lit("<| im_start|>")), F.lit(CLOSE), F.lit("<| im_end|>"))
+    broken = lambda c: F.replace(F.replace(c, F.lit(OPEN), F.lit("<| im_start|>")), F.lit(CLOSE), F.lit("<| im_end|>"))
+    clean = broken(F.coalesce(F.col(text_col), F.lit("")))
     said = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("by"), clean.alias("content"))
     said = said.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     speakers = said.where("`by` IS NOT NULL AND `by` != 'system'").select(F.col("conv_id").alias("conv"), F.col("by").alias("speaker")).distinct()
     role = F.when(F.col("by") == F.col("speaker"), "assistant").when(F.coalesce(F.col("by"), F.lit("system")) == "system", "system").otherwise("user")
     name = F.when(role == "user", F.col("by"))
     rows = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv").withColumn("role", role).withColumn("name", name)
-    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), broken(F.regexp_replace("name", r"[\x00-\x1F\x7F]", " "))), F.lit("")), F.lit("\n"))
     rows = rows.withColumn("rendered", F.concat(head, "content", F.lit(CLOSE + "\n"))).withColumn("size", F.length("rendered").cast("long")).withColumn("head", F.length(head))
     blocks = rows.groupBy("conv_id", "speaker", "block").agg(F.sum("size").alias("total"))
     before = F.sum("total").over(W.partitionBy("conv_id", "speaker").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
@@ -67,10 +70,11 @@ def assembled(segments: DataFrame, size: int = 1 << 20) -> DataFrame:
 
 
 def op9_chat_rotation(spark, sf_dir: str) -> DataFrame:
+    """Every segment of every participant's rendering of all conversations."""
     return rotate(table(spark, sf_dir, "conversations"))
 
 
-SQL = """
+SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, role AS who,
          replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS content
@@ -83,7 +87,7 @@ WITH said AS (
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), named AS (
   SELECT *, CASE WHEN role = 'user' THEN who END AS name,
-         '<|im_start|>' || role || coalesce(CASE WHEN role = 'user' THEN ' name=' || who END, '') || chr(10) AS head
+         '<|im_start|>' || role || coalesce(CASE WHEN role = 'user' THEN ' name=' || replace(replace(regexp_replace(who, '[\x00-\x1F\x7F]', ' ', 'g'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') END, '') || chr(10) AS head
   FROM parts
 ), sized AS (
   SELECT *, head || content || '<|im_end|>' || chr(10) AS rendered FROM named

@@ -29,17 +29,17 @@ BLOCK = 1024
 CELL = 64
 #: Share of pairs at the threshold that all passes together may miss.
 MISS = 1e-4
-MAX_PASSES = 160
 
 
 def plan_of(largest: int, threshold: float) -> tuple[int, int]:
     """(bits of a cell, passes) for a label of ``largest`` vectors.
 
-    Two vectors at the threshold share a sign with probability 1 - angle / pi.
+    Two vectors at the threshold share a sign with probability 1 - angle / pi. There is no
+    largest number of passes: all of them together miss a pair with a chance of ``MISS``.
     """
     bits = min(KEY_BITS, max(8, math.ceil(math.log2(max(1, largest / CELL)))))
     share = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, min(MAX_PASSES, max(4, math.ceil(math.log(MISS) / math.log1p(-share))))
+    return bits, max(4, math.ceil(math.log(MISS) / math.log1p(-share)))
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -160,4 +160,5 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def op5_embed_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links, component and kept vector of all rows of embeddings, at a cosine of 0.93 or more."""
     return link_vectors(table(spark, sf_dir, "embeddings"))

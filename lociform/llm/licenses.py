@@ -163,4 +163,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
+    """Base places, labels of the index and their score, of all documents."""
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -1,7 +1,8 @@
 """ISO media containers: write, walk and describe them without decoding payloads.
 
-``walk`` follows nested boxes, ``tracks`` decodes the sample tables of each track
-into codec, time scale, duration, sample ranges and key-frame byte ranges.
+``walk`` follows nested boxes, ``tracks`` decodes the sample tables of each track, and the
+runs of its movie fragments, into codec, time scale, duration, sample ranges and key-frame
+byte ranges.
 Malformed input never raises: the part that could be read is returned with an
 ``error``. Null content is an empty file: no track, error ``empty``.
 """
@@ -117,6 +118,7 @@ def tracks(data: bytes | None) -> tuple[list[dict], str | None]:
     now: dict[bytes, tuple[int, int]] = {}
     groups: list[dict[bytes, tuple[int, int]]] = []
     boxes = walk(data)
+    bad = (struct.error, KeyError, IndexError, ValueError, OverflowError)
     for path, at, end in boxes:
         if path[-1] == b"trak":
             now = {}
@@ -126,11 +128,70 @@ def tracks(data: bytes | None) -> tuple[list[dict], str | None]:
     for boxes_of in groups:
         try:
             found.append(_track(data, boxes_of))
-        except (struct.error, KeyError, IndexError, ValueError, OverflowError):
+        except bad:
             return found, "bad sample table"
+    try:
+        _add_fragments(data, boxes, found)
+    except bad:
+        return found, "bad fragment"
     return found, None if boxes and groups else "no track"
 
 
+def _add_fragments(data: bytes, boxes: list[tuple[tuple, int, int]], found: list[dict]) -> None:
+    """Appends the samples of all ``trun`` boxes to their tracks.
+
+    A sample is a key frame unless its flags say that it depends on others or is no sync sample.
+    """
+    of = {t["id"]: t for t in found}
+    usual: dict[int, tuple[int, int, int]] = {}
+    more: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = {}
+    moof, track, base, size, ticks, flags, place = 0, 0, 0, 0, 0, 0, None
+    for path, at, end in boxes:
+        kind = path[-1]
+        if kind == b"trex":
+            i, _, *rest = struct.unpack_from(">IIIII", data, at + 4)
+            usual[i] = tuple(rest)
+        elif kind == b"moof":
+            # the box's head lies before its body: 16 bytes if its size is a 64-bit number
+            moof, place = at - (16 if struct.unpack_from(">I", data, at - 16)[0] == 1 and data[at - 12 : at - 8] == b"moof" else 8), None
+        elif kind == b"tfhd":
+            has, track = struct.unpack_from(">II", data, at)
+            has, at = has & 0xFFFFFF, at + 8
+            ticks, size, flags = usual.get(track, (0, 0, 0))
+            base = moof if has & 0x20000 or place is None else place
+            if has & 1:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            at += 4 if has & 2 else 0
+            for bit in (8, 16, 32):
+                if has & bit:
+                    value, at = struct.unpack_from(">I", data, at)[0], at + 4
+                    ticks, size, flags = (value if bit == 8 else ticks), (value if bit == 16 else size), (value if bit == 32 else flags)
+            place = base
+        elif kind == b"trun":
+            has, n = struct.unpack_from(">II", data, at)
+            has, at = has & 0xFFFFFF, at + 8
+            if has & 1:
+                place, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first, at = (struct.unpack_from(">I", data, at)[0], at + 4) if has & 4 else (None, at)
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if has & bit]
+            n = min(n, (end - at) // (4 * len(fields)) if fields else len(data))
+            cells = np.frombuffer(data, ">u4", n * len(fields), at).astype(np.int64).reshape(n, len(fields))
+            column = lambda bit, usual_: cells[:, fields.index(bit)] if bit in fields else np.full(n, usual_, np.int64)  # noqa: E731, B023
+            sizes, marks = column(0x200, size), column(0x400, flags).copy()
+            if first is not None and n:
+                marks[0] = first
+            starts = place + np.cumsum(sizes) - sizes
+            more.setdefault(track, []).append((starts, sizes, (marks & 0x10000 == 0) & (marks >> 24 & 3 != 1), int(column(0x100, ticks).sum())))
+            place += int(sizes.sum())
+    for i, parts in more.items():
+        t = of[i]
+        before = len(t["sizes"])
+        t["starts"] = np.concatenate([t["starts"], *(x[0] for x in parts)])
+        t["sizes"] = np.concatenate([t["sizes"], *(x[1] for x in parts)])
+        t["keys"] = np.concatenate([t["keys"], before + np.flatnonzero(np.concatenate([x[2] for x in parts]))])
+        t["ticks"] += sum(x[3] for x in parts)
+
+
 def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     def counted(kind: bytes, width: int, dtype: str = ">u4") -> np.ndarray:
         if kind not in boxes:
@@ -138,6 +199,8 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
         at, end = boxes[kind]
         return _ints(data, at + 8, end, struct.unpack_from(">I", data, at + 4)[0], width, dtype)
 
+    at = boxes[b"tkhd"][0] if b"tkhd" in boxes else None
+    number = 0 if at is None else struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
     at, _ = boxes[b"mdhd"]
     scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
     handler = data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12].decode("latin-1") if b"hdlr" in boxes else ""
@@ -158,15 +221,17 @@ def _track(data: bytes, boxes: dict[bytes, tuple[int, int]]) -> dict:
     chunks = counted(b"co64", 1, ">u8") if b"co64" in boxes else counted(b"stco", 1)
     runs = counted(b"stsc", 3).reshape(-1, 3)
     firsts = np.append(runs[:, 0] - 1, len(chunks))
-    per = np.repeat(runs[:, 1], np.maximum(np.diff(firsts), 0))[: len(chunks)]
-    of = np.repeat(np.arange(len(per)), per)[: len(sizes)]
+    per = np.repeat(runs[:, 1], np.clip(np.diff(firsts), 0, len(chunks)))[: len(chunks)]
+    # no chunk holds more than the samples that are left, whatever it says
+    upto = np.minimum(np.cumsum(np.minimum(per, len(sizes))), len(sizes))
+    of = np.repeat(np.arange(len(per)), np.diff(upto, prepend=0))
     sizes = sizes[: len(of)]
     before = np.cumsum(sizes) - sizes
     starts = chunks[of] + before - before[np.searchsorted(of, of)] if len(of) else np.zeros(0, np.int64)
     times = counted(b"stts", 2).reshape(-1, 2)
     keys = counted(b"stss", 1) - 1 if b"stss" in boxes else np.arange(len(sizes))
     keys = keys[(keys >= 0) & (keys < len(sizes))]
-    return {"codec": codec, "handler": handler, "scale": int(scale), "duration": int(duration), "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
+    return {"id": int(number), "codec": codec, "handler": handler, "scale": int(scale), "duration": int(duration), "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys}
 
 
 def payload_of(data: bytes, track: dict) -> bytes:

@@ -84,29 +84,38 @@ def budgets(leaves: DataFrame, budget: int | None, weights: Mapping[str, Mapping
     return above.withColumnRenamed("budget", "share")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: int | None = None, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
     """``docs`` with __domain, __lang, __source, __tokens and __epoch, one row for each time a row is taken.
 
     Epoch k of a leaf is all its rows; the last epoch is cut. Its order is that of
     md5(seed, epoch, id); rows are taken while the tokens up to and with them (and with
     rows of the same id) fit. Null languages and sources are leaves of their own, named
     "". A null text counts no tokens, a leaf without tokens is taken once if it has a
-    share of 0 and all. An empty table gives no rows; other columns stay.
+    share of 0 and all. ``tokens`` counts a row's tokens in place of the words of its text.
+    An empty table gives no rows; other columns stay, but columns of the five added names
+    are replaced.
     """
+    added = [*(f"__{x}" for x in LEVELS), "__tokens", "__epoch"]
+    stay = [c for c in docs.columns if c not in added]
+    inner = {c: f"own {i}" for i, c in enumerate(stay)}
+    if tokens is None:
+        tokens = token_count(F.col(text_col))
     lang, source = F.coalesce(F.col(lang_col), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))
-    own = docs.withColumns({"__domain": domain_of(source), "__lang": lang, "__source": source, "__tokens": token_count(F.col(text_col))})
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    slim = own.select(F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), F.col(id_col).alias("id"))
-    # tables of leaves and of pieces are written once, so that the texts aren't counted again for each use
-    share = budgets(checkpointed(slim.groupBy(*LEVELS).agg(F.sum("tokens").cast("long").alias("tokens"))), budget, weights, max_epochs)
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in inner.items()), domain_of(source).alias("__domain"), lang.alias("__lang"), source.alias("__source"), tokens.alias("__tokens"), ident.alias("__id"))
+    names = [f"__{x}" for x in LEVELS]
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__whole").cast("string"), "__id"))
+    # one row for each document without its text, written once: tokens aren't counted again for each use
+    slim = checkpointed(own.select(*names, "__tokens", "__id"))
+    leaves = slim.groupBy(*(F.col(f"__{x}").alias(x) for x in LEVELS)).agg(F.sum("__tokens").cast("long").alias("tokens"))
+    share = budgets(checkpointed(leaves), budget, weights, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("share DIV tokens")).otherwise(1)
     leaf = share.select(*(F.col(x).alias(f"__{x}") for x in LEVELS), whole.alias("__whole"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(0).alias("__rest"))
     leaf = if_small(checkpointed(leaf), SMALL)
-    names = [f"__{x}" for x in LEVELS]
-    placed = own.join(leaf, names).withColumn("__epoch", F.col("__whole")).withColumn("__order", key)
+    placed = slim.join(leaf, names).where("__rest > 0").withColumn("__order", key)
     piece = F.substring("__order", 1, DIGITS)
     # which piece of the cut epoch holds the end of the prefix
-    pieces = placed.where("__rest > 0").groupBy(*names, "__rest", piece.alias("__piece")).agg(F.sum("__tokens").alias("n"))
+    pieces = placed.groupBy(*names, "__rest", piece.alias("__piece")).agg(F.sum("__tokens").alias("n"))
     before = F.sum("n").over(W.partitionBy(*names).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1))
     pieces = pieces.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before <= __rest")
     edge = checkpointed(pieces.where("__before + n > __rest").select(*names, "__piece", (F.col("__rest") - F.col("__before")).alias("__room")))
@@ -115,17 +124,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     last = inside.withColumn("__upto", upto).where("__upto <= __room").groupBy(*names).agg(F.max("__order").alias("__last"))
     edge = edge.join(last, names, "left").select(*names, F.col("__piece").alias("__edge"), F.coalesce("__last", F.lit("")).alias("__last"))
     cut = if_small(checkpointed(edge), SMALL)
-    placed = placed.join(cut, names, "left")
+    placed = own.join(leaf, names).withColumn("__order", key).join(cut, names, "left")
     more = (F.col("__rest") > 0) & (F.col("__edge").isNull() | (piece < F.col("__edge")) | ((piece == F.col("__edge")) & (F.col("__order") <= F.col("__last"))))
     times = F.col("__whole") + F.when(more, 1).otherwise(0)
     taken = placed.withColumn("__times", times).where("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
-    return taken.select(*docs.columns, *names, "__tokens", "__epoch")
+    return taken.select(*(F.col(n).alias(c) for c, n in inner.items()), *added)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """A budget of as many tokens as there are, with at most two epochs of a source."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs).select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", token_count(F.col("text")).alias("n"))
+    return mix(checkpointed(docs), tokens=F.col("n")).select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))
 
 
 def _level_sql(level: str, parents: list[str], above: str, weights: Mapping[str, int]) -> str:

@@ -29,6 +29,8 @@ MARGIN = 0.15
 BLOCK = 256
 #: Members of a component that are compared with an outsider pair by pair; more are taken in blocks.
 FEW = 4
+#: Parts that the members of a pivot are dealt over.
+SALTS = 32
 SMALL = 500_000
 
 
@@ -69,11 +71,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes; the texts stay where they are unless the nodes are too many to broadcast."""
-    wanted = docs.join(if_small(nodes.select(F.col("node").alias("doc_id")), SMALL), "doc_id", "left_semi").select("doc_id", "text")
+    """(node, hashes) of the wanted nodes (node, doc_id, key); the texts stay where they are unless the nodes are too many to broadcast.
+
+    Of the rows with a node's id those count whose set has the node's key.
+    """
+    wanted = docs.join(if_small(nodes, SMALL), "doc_id").select("node", "key", "text")
 
     def rows(b: dict[str, list]) -> dict[str, list]:
-        return {"node": b["doc_id"], "hashes": [shingle_set(t, width).tobytes() for t in b["text"]]}
+        sets = [shingle_set(t, width) for t in b["text"]]
+        own = [i for i, s in enumerate(sets) if set_key(s) == b["key"][i]]
+        return {"node": [b["node"][i] for i in own], "hashes": [sets[i].tobytes() for i in own]}
 
     return map_batches(wanted, rows, "node long, hashes binary").dropDuplicates(["node"])
 
@@ -140,7 +147,10 @@ def _rest(members: DataFrame, comps: DataFrame, info: DataFrame, sets: DataFrame
     """Links (a, b) between the components that the stars left, from all pairs of a bucket
     that lie in different ones."""
     of = info.select("node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
-    placed = members.join(of, "node").join(of.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot")
+    # a pivot may have very many members: they are dealt over parts of it
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    pivots = of.join(members.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    placed = members.join(of, "node").withColumn("salt", salt).join(pivots, ["pivot", "salt"])
     blocks = F.ceil(F.col("members") / BLOCK)
     placed = checkpointed(placed.select("bucket", "band", "node", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside"), F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks")))
     outside = placed.where("outside")
@@ -168,31 +178,45 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents with 100 * intersection >= percent * union of their shingle sets are linked;
     component_id is the smallest id reachable. Rows without words (null or empty text) and
     rows with a null id are linked with nothing; a null id has a null component and is kept.
-    Rows that share an id count as one document and are returned as often as they come.
-    Other columns are not read; an empty table gives no rows.
+    Rows that share an id are one document: what any of their texts links with, all of them
+    are linked with, and each row is returned with its own n_shingles. Other columns are not
+    read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = checkpointed(sketches(docs, width))
-    keys = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
-    nodes = checkpointed(keys)
+    words = seen.where("n > 0 AND doc_id IS NOT NULL")
+    keys = words.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    nodes = checkpointed(keys.withColumn("node", F.monotonically_increasing_id()))
     banded = _in_bands(nodes)
     shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     members = checkpointed(banded.join(shared, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    touched = checkpointed(members.select("node").distinct())
-    sets = checkpointed(_sets_of(docs, touched, width))
-    links = checkpointed(_verified(stars, sets, percent))
+    info = checkpointed(nodes.join(members.select("node").distinct(), "node").select("node", "n", "registers", "least", "key"))
+    sets = checkpointed(_sets_of(docs, info.select("node", F.col("least").alias("doc_id"), "key"), width))
+    info = info.select("node", "n", "registers")
+    links = checkpointed(_verified(stars, sets, percent).unionByName(_same_id(words, nodes)))
     comps = components(links)
-    info = checkpointed(nodes.join(touched, "node").select("node", "n", "registers"))
     links = checkpointed(links.unionByName(_rest(members, comps, info, sets, percent)))
     comps = components(links)
-    named = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").where("copies > 1 OR component_id IS NOT NULL").select("key", F.coalesce("component_id", "node").alias("component_id"))
+    grouped = comps.select(F.col("id").alias("node"), "component_id").unionByName(comps.select(F.col("component_id").alias("node"), "component_id").distinct())
+    tagged = nodes.join(grouped, "node", "left").where("copies > 1 OR component_id IS NOT NULL").select("key", "least", F.coalesce("component_id", "node").alias("root"))
+    smallest = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = tagged.select("key", "root").join(if_small(smallest, SMALL), "root").select("key", "component_id")
     known = seen.select("doc_id", "n", "key").join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _same_id(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the texts of ids that have several: those of the smallest and of any other node."""
+    several = checkpointed(words.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high").select("doc_id"))
+    texts = words.join(if_small(several, SMALL), "doc_id", "left_semi").select("doc_id", "key").distinct()
+    texts = texts.join(nodes.select("key", "node"), "key").select("doc_id", "node")
+    firsts = texts.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return texts.join(firsts, "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that of the smallest id."""
     gone = checkpointed(link_documents(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())

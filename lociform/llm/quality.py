@@ -13,10 +13,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociform.llm.common import if_small, map_batches, table, utf8
+from lociform.llm.common import if_small, map_batches, parts_of, table, utf8
 
 #: At most so many labelled rows are fitted on, those of the smallest hash of their id.
 TRAIN_ROWS = 8000
+#: Documents of more lines are not fitted on: their features would be too much for the driver. They are scored as all others.
+TRAIN_LINES = 5000
 CUT = 0.3
 #: Byte classes: lower, upper, digit, above ASCII, space, bar, mark (#$%&*), shout (!), stop (.,;:?), other.
 CLASSES = 10
@@ -171,7 +173,7 @@ def is_held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> LineField:
-    """A field fitted on at most ``rows`` labelled documents outside the held-out fifth.
+    """A field fitted on at most ``rows`` labelled documents of at most ``TRAIN_LINES`` lines outside the held-out fifth.
 
     Executors turn texts into line features; these reach the driver. Without labels the
     field scores every document 0.5.
@@ -181,6 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> LineFie
     texts = docs.select("doc_id", "text").join(if_small(chosen, rows), "doc_id")
 
     def features(b: dict[str, list]) -> dict[str, list]:
+        short = [i for i, t in enumerate(b["text"]) if utf8(t).count(b"\n") < TRAIN_LINES]
+        b = {k: [v[i] for i in short] for k, v in b.items()}
+        if not short:
+            return b | {"x": [], "length": []}
         x, length, per = line_features(b["text"])
         cut = np.cumsum(per)
         parts = [slice(a, z) for a, z in zip(cut - per, cut, strict=True)]
@@ -214,8 +220,7 @@ def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> Data
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for part in parts_of(batch):
                 s = field.scores(part.column(part.schema.get_field_index(text_col)).to_pylist())
                 yield part.filter(pa.array(s >= CUT))
 
@@ -223,6 +228,7 @@ def keep_good(docs: DataFrame, field: LineField, text_col: str = "text") -> Data
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Score and decision of every whole text; a null text counts as empty, repeated and null ids are kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

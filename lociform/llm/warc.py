@@ -18,7 +18,10 @@ from lociform.llm.common import table
 #: Headers that describe the stored body or the connection; a 304 doesn't update them.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=.*)?$"
-SPANS = 64
+#: Rows for which one span of time is planned; spans hold equally many rows, so a burst has many.
+SPAN_ROWS = 250_000
+#: Spans at least and at most, powers of two; rows without a URL are dealt over as many parts.
+SPANS, MOST_SPANS = 64, 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -35,6 +38,21 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def _span(rows: DataFrame, ts: Column) -> Column:
+    """Which of the spans of equally many rows a time lies in; null times lie in none."""
+    n = rows.count()
+    k = SPANS
+    while k < MOST_SPANS and k * SPAN_ROWS < n:
+        k *= 2
+    ends = rows.agg(F.percentile_approx("ts", [i / k for i in range(1, k)], 20 * k).alias("e")).first()["e"] or []
+    if not ends:
+        return F.when(ts.isNotNull(), F.lit(0).cast("long"))
+    cuts = F.array(*(F.lit(x).cast("long") for x in ends))
+    steps = F.array(*(F.lit(1 << i) for i in range(k.bit_length() - 2, -1, -1)))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(cuts, at + step - 1) <= ts, F.lit(False)), at + step).otherwise(at))
+    return F.when(ts.isNotNull(), found.cast("long"))
+
+
 def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url", time_col: str = "ts", kind_col: str = "kind", status_col: str = "status", headers_col: str = "headers", digest_col: str = "digest") -> DataFrame:
     """(record_id, url_key, kind, outcome, resolved_id, digest, headers) of every record.
 
@@ -49,13 +67,11 @@ def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url",
     """
     c = F.col
     rows = records.select(c(id_col).cast("long").alias("record_id"), canonical_url(c(url_col)).alias("url_key"), c(time_col).cast("long").alias("ts"), c(kind_col).alias("kind"), c(status_col).cast("int").alias("status"), F.coalesce(c(headers_col), F.create_map().cast("map<string,string>")).alias("h"), c(digest_col).alias("digest"))
-    bounds = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"] or 0, bounds["hi"] or 0
-    rows = rows.withColumn("span", F.floor((c("ts") - lo) / ((hi - lo) // SPANS + 1)))
+    rows = rows.withColumn("span", _span(rows, c("ts")))
     full = (c("kind") == "response") & (c("status") == 200) & c("record_id").isNotNull() & c("ts").isNotNull() & c("url_key").isNotNull()
     offer = F.when(full, F.struct("ts", "record_id", F.map_entries("h").alias("entries"), "digest"))
-    near = F.max(offer).over(W.partitionBy("url_key", "span").orderBy("ts").rangeBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("near", near)
+    near = F.max(offer).over(W.partitionBy("url_key", "span", "part").orderBy("ts").rangeBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("part", F.when(c("url_key").isNull(), F.pmod(F.xxhash64("record_id", "ts", "digest"), F.lit(MOST_SPANS)))).withColumn("near", near)
     last = rows.where(full).groupBy("url_key", "span").agg(F.max(offer).alias("last"))
     asked = rows.where("kind = 'revisit' AND near IS NULL AND url_key IS NOT NULL AND span IS NOT NULL").select("url_key", "span").distinct()
     line = asked.withColumn("last", F.lit(None).cast(last.schema["last"].dataType)).unionByName(last)
@@ -103,6 +119,7 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def op10_warc_revisits(spark, sf_dir: str) -> DataFrame:
+    """Every page's capture and every revisit, resolved where the validators agree."""
     return resolve(records_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 

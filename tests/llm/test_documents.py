@@ -385,3 +385,72 @@ def test_licenses_of_several_notices():
     assert licenses.scan(text, index, idf)[5] == "bsd,mit,mpl,proprietary"
 
 
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Id 5 has two texts, one like that of 7 and one like that of 9: all are one group in any order of rows."""
+    rows = [(5, "a b c d e f"), (5, "u v w x y z"), (7, "a b c d e f"), (9, "u v w x y z"), (3, "not like any of them")]
+    for order in (rows, rows[::-1]):
+        got = near_dedup.link_documents(frame(spark, order), width=2).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def fragmented(sizes, marks, wide=False):
+    """A file whose only samples lie in two movie fragments."""
+    import struct
+
+    box, full = media._box, media._full
+    payload = bytes(i % 251 for i in range(sum(sizes)))
+    head = media.encode(b"")  # a movie without samples
+    at = head.index(b"moov") - 4
+    moov = head[at : at + struct.unpack_from(">I", head, at)[0]]
+    trex = full(b"trex", struct.pack(">IIIII", 1, 1, 10, 0, 0x10000))
+    moov = box(b"moov", moov[8:], box(b"mvex", trex))
+    out, done = media.FTYP + moov, 0
+    for part in (slice(0, len(sizes) // 2), slice(len(sizes) // 2, None)):
+        own, flags = sizes[part], marks[part]
+        for offset in (0, 1):  # the first round finds the offset
+            trun = full(b"trun", struct.pack(">Ii", len(own), offset), b"".join(struct.pack(">II", z, 0x2000000 if k else 0x10000) for z, k in zip(own, flags, strict=True)), flags=0x601)
+            moof = box(b"moof", full(b"mfhd", b"\0\0\0\1"), box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), trun))
+            if not offset:
+                size = len(moof) + 8
+        moof = moof.replace(struct.pack(">Ii", len(own), 1), struct.pack(">Ii", len(own), size))
+        out += moof + box(b"mdat", payload[done : done + sum(own)])
+        done += sum(own)
+    return out, payload
+
+
+def test_media_fragments():
+    data, payload = fragmented([7, 5, 9, 4, 6], [True, False, True, False, False])
+    found, error = media.tracks(data)
+    assert error is None and media.payload_of(data, found[0]) == payload
+    assert found[0]["keys"].tolist() == [0, 2] and found[0]["sizes"].tolist() == [7, 5, 9, 4, 6] and found[0]["ticks"] == 50
+
+
+def test_media_malformed(spark):
+    good = media.encode(b"x" * 192 * 40)
+    at = good.index(b"stsc")
+    broken = [good[: at + 16] + b"\xff" * 4 + good[at + 20 :], good[: len(good) // 3], b"\0\0\0\1moof" + b"\xff" * 8, b"", None, fragmented([3, 4], [True, True])[0][:-30]]
+    rnd = random.Random(3)
+    for _ in range(300):
+        raw = bytearray(rnd.choice([good, fragmented([5] * 6, [True] * 6)[0]]))
+        for _ in range(rnd.randint(1, 4)):
+            raw[rnd.randrange(min(len(raw), 900))] = rnd.choice([0, 1, 127, 255])
+        broken.append(bytes(raw))
+    for data in broken:
+        found, _ = media.tracks(data)
+        assert all(len(t["sizes"]) <= max(1, len(data)) for t in found)
+    df = spark.createDataFrame([(str(i), d) for i, d in enumerate(broken[:6])] + [(None, good)], "id string, content binary")
+    rows = media.inspect(df.withColumn("track", F.lit("clash")), "id", "content").collect()
+    assert {r["id"] for r in rows} == {None, *map(str, range(6))} and next(r for r in rows if r["id"] == "4")["error"] == "empty"
+
+
+def test_stored_texts_are_files(spark):
+    got = {r["id"]: bytes(r["media"]) for r in media.store_texts(frame(spark, ["one", None, ""])).collect()}
+    assert media.payload_of(got["0"], media.tracks(got["0"])[0][0]) == b"one" + b" " * 189 and got["1"] == got["2"]
+
+
+def test_mixing_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s0"), (2, "c", None, None)], DOCS).withColumns({c: F.lit("clash") for c in ("__domain", "__tokens", "__epoch", "__whole", "__rest", "__order", "__id", "own 1")})
+    got = mixing.mix(docs, budget=6).collect()
+    assert {(r["doc_id"], r["__domain"], r["__tokens"], r["__whole"], r["own 1"]) for r in got} == {(1, "d0", 2, "clash", "clash"), (2, "d0", 1, "clash", "clash")}
