@@ -115,10 +115,23 @@ def log10p1(x: Column) -> Column:
     return F.log10(x.cast("double") + 1)
 
 
+#: Fixed values of the gene-bias formulas: constant, slope of ln(count), of ln(weight), of ln(weight / count),
+#: what is added to count and weight, and whether the result is of single precision.
+BIAS = {
+    1: (-0.898699452975139, 4.32171188401506, -3.42375631012767, 0.0, 0, True),
+    2: (-1.57361718748031, 1.0, 0.0, -3.62887641327823, 0, True),
+    3: (-0.843924877396631, 0.887303234304011, 0.0, -3.45874660923795, 1, False),
+    4: (-1.4050204825287, 1.0, 0.0, -3.5820783386146, 0, True),
+}
+
+
 def bias_formula(kind: int, count: Column, weight: Column) -> Column:
-    """Gene-bias formulas 1 to 4: quotient, log-quotient, difference in logs, capped quotient (C11)."""
-    q = count / F.greatest(weight, F.lit(1e-9))
-    return {1: q, 2: F.log1p(q), 3: F.exp(F.log1p(count.cast("double")) - F.log1p(weight.cast("double"))), 4: F.least(q, count * 10.0)}[kind]
+    """Expression corrected for a gene's bias (C11): log-linear in count and summed weight; 0 without reads, the count without weight."""
+    const, of_count, of_weight, of_ratio, plus, single = BIAS[kind]
+    c, w = F.log(count.cast("double") + plus), F.log(weight.cast("double") + plus)
+    value = F.exp(const + of_count * c + of_weight * w + of_ratio * (w - c))
+    value = value.cast("float").cast("double") if single else value
+    return F.when(count == 0, 0.0).when(weight == 0, count.cast("double")).otherwise(value)
 
 
 def flag(flags: Column, bit: int) -> Column:
@@ -174,3 +187,19 @@ def segment_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def segment_distance(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """0 if they overlap, else the gap; never negative (C23; Q8)."""
     return F.greatest(F.lit(0), s2 - e1, s1 - e2)
+
+
+def segment_length(s: Column, e: Column) -> Column:
+    """Positions of a closed segment."""
+    return e - s + 1
+
+
+def segment_merge(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
+    """struct<start, end> from the smaller start to the larger end."""
+    return F.struct(F.least(s1, s2).alias("start"), F.greatest(e1, e2).alias("end"))
+
+
+def gap_length(a: Column, b: Column) -> Column:
+    """Gap marks of the allele that has more of them (C20)."""
+    n = lambda c: F.length(c) - F.length(F.replace(c, F.lit("-"), F.lit("")))
+    return F.greatest(n(a), n(b))

@@ -10,7 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 _LG = np.array([0.0, 0.0, *np.cumsum(np.log(np.arange(2, 4097)))])
 
@@ -49,39 +49,84 @@ def fisher_greater(a, b, c, d) -> np.ndarray:
     return np.array(out)
 
 
-def fisher_table(rows: list[list[int]], most: int = 20_000, draws: int = 4_000, seed: int = 1) -> float:
-    """p of an r x c table (T9): all tables with its margins if there are at most ``most`` steps, else seeded draws."""
+def fisher_table(rows: list[list[int]], method: str = "auto", most: int = 5_000_000, draws: int = 4_000, seed: int = 1) -> tuple[float, str]:
+    """(p, method) of an r x c table (T9): all tables with its margins that are no likelier.
+
+    ``exact`` meets in the middle: the columns are split in two halves, each half's fillings
+    are listed by the row sums that they use, and for each filling of one half the
+    fillings of the other that complete it are a prefix of those sorted by likelihood.
+    Cells further from their mean than the table's own chance over 1e17 are left out, which
+    changes p by no digit that counts. ``drawn`` is the share of seeded draws and can't be less than 1 / (draws + 1).
+    ``auto`` is exact unless a half has more than ``most`` fillings; the method tells which it was.
+    """
     t = np.asarray(rows, int)
+    t = t[:, t.sum(0) > 0][t.sum(1) > 0]
+    if t.size == 0 or min(t.shape) < 2:
+        return 1.0, "exact"
+    if t.shape[0] > t.shape[1]:
+        t = t.T
     r, c = t.sum(1), t.sum(0)
-    n = int(t.sum())
-    const = float(log_factorial(r).sum() + log_factorial(c).sum() - log_factorial(n))
+    const = float(log_factorial(r).sum() + log_factorial(c).sum() - log_factorial(int(t.sum())))
     own = const - float(log_factorial(t).sum())
-    limit = own + 1e-7
-    states: dict[tuple, dict[float, float]] = {tuple(c.tolist()): {0.0: 1.0}}
-    steps = 0
-    for i, need in enumerate(r.tolist()):
-        new: dict[tuple, dict[float, float]] = {}
-        for left, sums in states.items():
-            options = [left] if i == len(r) - 1 else _splits(left, need)
-            for row in options:
-                cost = -float(log_factorial(np.array(row)).sum())
-                rest = tuple(x - y for x, y in zip(left, row, strict=True))
-                into = new.setdefault(rest, {})
-                for s, m in sums.items():
-                    key = round(s + cost, 9)
-                    into[key] = into.get(key, 0.0) + m
-                    steps += 1
-            if steps > most:
-                return _fisher_drawn(t, own, const, draws, seed)
-        states = new
-    return min(1.0, sum(m * math.exp(const + s) for sums in states.values() for s, m in sums.items() if const + s <= limit))
-
-
-def _splits(left: tuple, need: int) -> list[tuple]:
-    if len(left) == 1:
-        return [(need,)] if need <= left[0] else []
-    rest = sum(left[1:])
-    return [(k, *more) for k in range(max(0, need - rest), min(left[0], need) + 1) for more in _splits(left[1:], need - k)]
+    if method != "drawn":
+        order = np.argsort(c, kind="stable")
+        halves = [_fillings(r, c[order[i::2]].tolist(), int(t.sum()), math.sqrt(80 - 2 * own), most if method == "auto" else None) for i in (0, 1)]
+        if None not in halves:
+            return min(1.0, _met(*halves, r, own - const + 1e-7, const)), "exact"
+    return _fisher_drawn(t, own, const, draws, seed), "drawn"
+
+
+def _fillings(r: np.ndarray, columns: list[int], n: int, reach: float, most: int | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row sums used by all rows but the last, log weight) of each filling of some columns; None if they are more than ``most``."""
+    used, logs = np.zeros((1, len(r) - 1), np.int64), np.zeros(1)
+    for total in columns:
+        cells, left = np.zeros((1, 0), np.int64), np.array([total])
+        for i in range(len(r) - 1):
+            lo, hi = _likely_range(int(r[i]), total, n, reach)
+            x = np.arange(lo, hi + 1)
+            if most is not None and len(cells) * len(x) > most:
+                return None
+            grid = np.repeat(np.arange(len(cells)), len(x))
+            each = np.tile(x, len(cells))
+            ok = each <= left[grid]
+            cells, left = np.column_stack([cells[grid[ok]], each[ok]]), left[grid[ok]] - each[ok]
+        lo, hi = _likely_range(int(r[-1]), total, n, reach)
+        ok = (left >= lo) & (left <= hi)
+        cells, left = cells[ok], left[ok]
+        weight = -log_factorial(cells).sum(1) - log_factorial(left)
+        if most is not None and len(used) * len(cells) > most:
+            return None
+        used = (used[:, None, :] + cells[None, :, :]).reshape(-1, len(r) - 1)
+        logs = (logs[:, None] + weight[None, :]).ravel()
+        ok = (used <= r[:-1]).all(1)
+        used, logs = used[ok], logs[ok]
+    return used, logs
+
+
+def _likely_range(row: int, column: int, n: int, reach: float) -> tuple[int, int]:
+    """Cells within ``reach`` standard deviations of their mean, given both sums."""
+    lo, hi = max(0, row + column - n), min(row, column)
+    mean, sd = row * column / n, math.sqrt(max(row * column / n * (1 - row / n) * (1 - column / n), 0.25))
+    return max(lo, math.floor(mean - reach * sd - 20)), min(hi, math.ceil(mean + reach * sd + 20))
+
+
+def _met(a: tuple, b: tuple, r: np.ndarray, limit: float, const: float) -> float:
+    """Sum of the chances of all pairs of fillings that use each row up and whose log weight is at most ``limit``."""
+    base = np.concatenate([[1], np.cumprod(r[:-2] + 1)]).astype(np.int64) if len(r) > 1 else np.ones(0, np.int64)
+    key_a, key_b = (r[:-1] - a[0]) @ base, b[0] @ base
+    order = np.lexsort((b[1], key_b))
+    key_b, logs = key_b[order], b[1][order]
+    first, end = np.searchsorted(key_b, key_a, "left"), np.searchsorted(key_b, key_a, "right")
+    total = 0.0
+    some = np.flatnonzero(end > first)
+    some = some[np.argsort(first[some], kind="stable")]
+    for rows in np.split(some, np.flatnonzero(np.diff(first[some])) + 1) if len(some) else []:
+        lo, hi = first[rows[0]], end[rows[0]]
+        top = logs[hi - 1]
+        upto = np.concatenate([[0.0], np.cumsum(np.exp(logs[lo:hi] - top))])
+        stop = np.searchsorted(logs[lo:hi], limit - a[1][rows], "right")
+        total += float((np.exp(a[1][rows] + const + top) * upto[stop]).sum())
+    return total
 
 
 def _fisher_drawn(t: np.ndarray, own: float, const: float, draws: int, seed: int) -> float:
@@ -188,9 +233,10 @@ def fisher_p_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
     return pd.Series(fisher_greater(a, b, c, d))
 
 
-@F.pandas_udf(DoubleType())
-def fisher_p_table(cells: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([fisher_table(np.asarray(x, int).reshape(-1, int(w)).tolist()) for x, w in zip(cells, width, strict=True)], dtype=float)
+@F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("method", StringType())]))
+def fisher_p_table(cells: pd.Series, width: pd.Series) -> pd.DataFrame:
+    got = [fisher_table(np.asarray(x, int).reshape(-1, int(w)).tolist()) for x, w in zip(cells, width, strict=True)]
+    return pd.DataFrame(got, columns=["p", "method"])
 
 
 @F.pandas_udf(DoubleType())

@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociform.operators.sweep import latest, running_sum, with_next
+from lociform.operators.sweep import islands, largest_before, latest, previous, running_sum, swept
 
 
 def _steps(events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, length, count) from (keys, pos, delta): runs between changes, none after the last."""
     changes = events.groupBy(*keys, "pos").agg(F.sum("delta").alias("delta")).where("delta != 0")
-    swept = running_sum(with_next(changes, keys, "pos"), keys, ["pos"], {"count": "delta"})
-    return swept.where("next_pos IS NOT NULL").select(*keys, F.col("pos").alias("start"), (F.col("next_pos") - F.col("pos")).alias("length"), "count")
+    return swept(changes, keys, "pos", {"count": "delta"}).where("next_pos IS NOT NULL").select(*keys, F.col("pos").alias("start"), (F.col("next_pos") - F.col("pos")).alias("length"), "count")
 
 
 def coverage(df: DataFrame, keys: list[str], start: str, end: str, weight: Column | None = None, leading: bool = True, closed: bool = False) -> DataFrame:
@@ -57,27 +56,38 @@ def step_union(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     names = list(sources)
     events = reduce(DataFrame.unionByName, (_deltas(df, keys, "d").select("*", F.lit(n).alias("src")) for n, df in sources.items()))
     points = events.groupBy(*keys, "pos").agg(*(F.sum(F.when(F.col("src") == n, F.col("d")).otherwise(0)).alias(f"d_{n}") for n in names))
-    swept = running_sum(with_next(points, keys, "pos"), keys, ["pos"], {n: f"d_{n}" for n in names}).where("next_pos IS NOT NULL")
+    return _union(points, keys, names)
+
+
+def _union(points: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    own = swept(points, keys, "pos", {n: f"d_{n}" for n in names}).where("next_pos IS NOT NULL")
     total = reduce(Column.__add__, map(F.col, names))
-    return swept.select(*keys, F.col("pos").alias("start"), (F.col("next_pos") - F.col("pos")).alias("length"), *names, total.alias("total"))
+    return own.select(*keys, F.col("pos").alias("start"), (F.col("next_pos") - F.col("pos")).alias("length"), *names, total.alias("total"))
+
+
+def sample_union(df: DataFrame, keys: list[str], start: str, end: str, sample: str, samples: list[str], shift: dict[str, int] | None = None) -> DataFrame:
+    """``step_union`` of the coverage of each of ``samples``, from one scan of their intervals; ``shift`` moves samples."""
+    moved = F.lit(0)
+    for name, by in (shift or {}).items():
+        moved = F.when(F.col(sample) == name, by).otherwise(moved)
+    own = df.where(F.col(sample).isin(samples)).select(*keys, F.col(sample).alias("__s"), (F.col(start).cast("long") + moved).alias("s"), (F.col(end).cast("long") + moved).alias("e")).where("s < e")
+    events = own.select(*keys, "__s", F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("x")).select(*keys, "__s", "x.*")
+    points = events.groupBy(*keys, "pos").agg(*(F.sum(F.when(F.col("__s") == n, F.col("d")).otherwise(0)).alias(f"d_{n}") for n in samples))
+    return _union(points.where(" OR ".join(f"`d_{n}` != 0" for n in samples)), keys, samples)
 
 
 def peaks(steps: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Maximal chains of adjacent runs above ``threshold``: start, length, summed run counts (Q10), area."""
-    above = steps.where(F.col("count") > threshold)
-    w = W.partitionBy(*keys).orderBy("start")
-    opened = F.coalesce((F.lag(F.col("start") + F.col("length")).over(w) != F.col("start")).cast("int"), F.lit(1))
-    chained = above.withColumn("__open", opened).withColumn("__peak", F.sum("__open").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    above = previous(steps.where(F.col("count") > threshold), keys, ["start"], F.col("start") + F.col("length"), "__before")
+    chained = islands(above, keys, ["start"], F.coalesce(F.col("__before") != F.col("start"), F.lit(True)), "__peak")
     return chained.groupBy(*keys, "__peak").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("count").alias("sum_transition_count"), F.sum(F.col("count") * F.col("length")).alias("area")).drop("__peak")
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
     """Unions of intervals that overlap, touch or lie within ``gap`` (A8, W6; Q8: the whole overlap test)."""
     own = df.select(*keys, F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s < e")
-    w = W.partitionBy(*keys).orderBy("s", "e")
-    reach = F.max("e").over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = own.withColumn("__new", F.coalesce((F.col("s") > reach + gap).cast("int"), F.lit(1)))
-    grouped = cut.withColumn("__g", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    reach = largest_before(own, keys, ["s", "e"], "e", "__reach")
+    grouped = islands(reach, keys, ["s", "e"], F.coalesce(F.col("s") > F.col("__reach") + gap, F.lit(True)), "__g")
     return grouped.groupBy(*keys, "__g").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.count("*").alias("n")).drop("__g")
 
 
@@ -123,10 +133,9 @@ def count_bins(steps: DataFrame, keys: list[str], width: int) -> DataFrame:
 
 def adaptive_bins(steps: DataFrame, keys: list[str]) -> DataFrame:
     """One bin for each maximal chain of zero or of non-zero runs: mean and largest count."""
-    w = W.partitionBy(*keys).orderBy("start")
     kind = (F.col("count") == 0).cast("int")
-    new = F.coalesce(((F.lag(kind).over(w) != kind) | (F.lag(F.col("start") + F.col("length")).over(w) != F.col("start"))).cast("int"), F.lit(1))
-    own = steps.withColumn("__new", new).withColumn("__bin", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seen = previous(steps, keys, ["start"], F.struct(kind.alias("kind"), (F.col("start") + F.col("length")).alias("end")), "__before")
+    own = islands(seen, keys, ["start"], F.coalesce((F.col("__before.kind") != kind) | (F.col("__before.end") != F.col("start")), F.lit(True)), "__bin")
     return own.groupBy(*keys, "__bin").agg(F.min("start").alias("start"), F.sum("length").alias("length"), (F.sum(F.col("length") * F.col("count")) / F.sum("length")).alias("mean"), F.max("count").alias("largest")).drop("__bin")
 
 
@@ -161,7 +170,6 @@ def depth_at(steps: DataFrame, points: DataFrame, keys: list[str], pos: str) ->
 
 def rle(df: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
     """Runs of equal values at adjacent positions from one row for each position."""
-    w = W.partitionBy(*keys).orderBy(pos)
-    new = F.coalesce(((F.lag(value).over(w) != F.col(value)) | (F.lag(pos).over(w) + 1 != F.col(pos))).cast("int"), F.lit(1))
-    own = df.withColumn("__new", new).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seen = previous(df, keys, [pos], F.struct(F.col(value).alias("v"), F.col(pos).alias("p")), "__before")
+    own = islands(seen, keys, [pos], F.coalesce((F.col("__before.v") != F.col(value)) | (F.col("__before.p") + 1 != F.col(pos)), F.lit(True)), "__run")
     return own.groupBy(*keys, "__run").agg(F.min(pos).alias("start"), F.count("*").alias("length"), F.first(value).alias("count")).drop("__run")

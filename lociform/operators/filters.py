@@ -85,7 +85,8 @@ def few_mismatches(df: DataFrame, mismatches: str, indels: str, length: str, sha
 
 def sampled(df: DataFrame, key: Column, rate: float, seed: int) -> DataFrame:
     """A share of the rows by a hash of their key, the same on every run."""
-    return df.where(F.pmod(key * 7919 + seed, F.lit(10007)) < int(rate * 10007))
+    # remainders first: the product of a large key would overflow
+    return df.where(F.pmod(F.pmod(key, F.lit(10007)) * 7919 + seed % 10007, F.lit(10007)) < int(rate * 10007))
 
 
 def capped(df: DataFrame, site: list[str], n: int, order: list[Column]) -> DataFrame:
@@ -168,3 +169,9 @@ def top_unique(df: DataFrame, group: list[str], unique: str, score: str, k: int)
     """The k best rows of a group, one for each value of ``unique``."""
     one = df.withColumn("__r", F.row_number().over(W.partitionBy(*group, unique).orderBy(F.col(score).desc(), *(F.col(c) for c in df.columns)))).where("__r = 1").drop("__r")
     return one.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.col(score).desc(), F.col(unique)))).where(F.col("rank") <= k)
+
+
+def counted(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """(name, n): rows for which each named condition is true, in one pass."""
+    one = df.agg(*(F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"c{i}") for i, c in enumerate(conditions.values())))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("n")) for i, n in enumerate(conditions)))).alias("x")).select("x.*")

@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociform.operators.sweep import latest, running_sum
+from lociform.operators.sweep import largest_before, latest, running_sum
+
+
+#: How many times wider the bins of a level are than those below.
+STEP = 16
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Pairs (l, r) of rows with equal keys whose [start, end) overlap, as two structs.
 
-    Both sides are dealt to bins of ``width``; a pair is returned in the bin of the larger
-    start only. ``width`` should be near the median length.
+    Bins of level n are ``width`` * 16^n wide; an interval's own level is the lowest whose
+    bins are as long as it is, so it lies in two bins at most, however long. A pair meets on
+    the level of its longer interval, in the bin of the larger start; the shorter one is
+    dealt to the bins of the levels above its own that the table has. ``width`` should be
+    near the median length.
     """
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)))
-        return df.where("start < end").select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*df.columns).alias(name), bins.alias("__bin"))
-
-    both = dealt(left, "l").join(dealt(right, "r"), [*(f"__{k}" for k in keys), "__bin"])
+    level = F.ceil(F.log(F.greatest(F.col("end") - F.col("start"), F.lit(width)) / width) / math.log(STEP) - 1e-9).cast("int")
+    left, right = (df.where("start < end").withColumn("__lev", level) for df in (left, right))
+    top = left.select("__lev").unionAll(right.select("__lev")).agg(F.max("__lev")).first()[0] or 0
+
+    def dealt(df: DataFrame, name: str, levels: Column) -> DataFrame:
+        size = F.pow(F.lit(float(STEP)), F.col("__at")).cast("long") * width
+        bins = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)))
+        each = df.withColumn("__at", F.explode(levels)).withColumn("__bin", bins).withColumn("__size", size)
+        return each.select(*(F.col(k).alias(f"__{k}") for k in keys), "__at", "__bin", F.col("__size").alias(f"__size_{name}"), F.struct(*(c for c in df.columns if c != "__lev")).alias(name))
+
+    own = F.array("__lev")
+    upto = F.sequence(F.col("__lev"), F.lit(top))
+    meets = [*(f"__{k}" for k in keys), "__at", "__bin"]
+    both = dealt(left, "l", own).join(dealt(right, "r", upto), meets)
+    if top:
+        above = F.filter(upto, lambda x: x > F.col("__lev"))
+        both = both.unionByName(dealt(left, "l", above).join(dealt(right, "r", own), meets))
     low = F.greatest("l.start", "r.start")
-    return both.where((F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end")) & (F.floor(low / width) == F.col("__bin"))).select("l", "r")
+    return both.where((F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end")) & (F.floor(low / F.col("__size_l")) == F.col("__bin"))).select("l", "r")
 
 
 def contained(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -52,13 +73,23 @@ def overlap_counts(reads: DataFrame, areas: DataFrame, keys: list[str], weight:
     return got.withColumn("__rows", (F.col("__rows") / 2).cast("int")).withColumn("n", (F.col("n") / F.col("__rows")).cast(live.schema["w"].dataType)).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__rows")))).drop("__rows", "__i")
 
 
-def mean_depth(steps: DataFrame, areas: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """``areas`` with the mean of a step function over each, 0 where there is none."""
-    runs = steps.where("count != 0").select(*keys, "start", (F.col("start") + F.col("length")).alias("end"), "count")
-    part = F.least("l.end", "r.end") - F.greatest("l.start", "r.start")
-    got = overlap_join(runs, areas, keys, width).groupBy("r").agg(F.sum(part * F.col("l.count")).alias("area"))
-    own = areas.select(F.struct(*areas.columns).alias("r")).join(got, "r", "left")
-    return own.select("r.*", (F.coalesce("area", F.lit(0)) / (F.col("r.end") - F.col("r.start"))).alias("mean_depth"))
+def mean_depth(steps: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
+    """``areas`` with the mean of a step function over each, 0 where there is none.
+
+    The difference of the areas up to an interval's ends, which the run that holds each
+    end tells; no pair is formed.
+    """
+    runs = steps.where("count != 0").select(*keys, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"), "count", (F.col("length") * F.col("count")).alias("__a"))
+    areas_of = running_sum(runs, keys, ["start"], {"__upto": "__a"})
+    marks = areas_of.select(*keys, F.col("start").alias("__pos"), F.lit(0).alias("__tie"), F.struct("start", "end", "count", (F.col("__upto") - F.col("__a")).alias("before")).alias("__run"))
+    ends = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("end").cast("long").alias("pos"), F.lit(1).alias("sign"))))
+    asked = areas.select(*keys, F.struct(*areas.columns).alias("__row"), ends.alias("x")).select(*keys, F.col("x.pos").alias("__pos"), F.lit(1).alias("__tie"), "__row", F.col("x.sign").alias("__sign"))
+    found = latest(marks.unionByName(asked, allowMissingColumns=True), keys, ["__pos", "__tie"], F.col("__run"), "__at").where("__tie = 1")
+    upto = F.col("__at.before") + F.col("__at.count") * (F.least("__pos", "__at.end") - F.col("__at.start"))
+    got = found.groupBy("__row").agg(F.sum(F.col("__sign") * F.coalesce(upto, F.lit(0))).alias("area"), (F.count("*") / 2).cast("int").alias("rows"))
+    # equal areas meet in one group: each counts for itself
+    each = got.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select("__row.*", (F.col("area") / F.col("rows") / (F.col("__row.end") - F.col("__row.start"))).alias("mean_depth"))
 
 
 def gene_counts(reads: DataFrame, exons: DataFrame, keys: list[str], gene: str, width: int) -> DataFrame:
@@ -74,10 +105,8 @@ def gene_counts(reads: DataFrame, exons: DataFrame, keys: list[str], gene: str,
 
 def points_in_intervals(points: DataFrame, areas: DataFrame, keys: list[str], pos: str, width: int) -> DataFrame:
     """Pairs (p, a) of points and the intervals that hold them."""
-    p = points.select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*points.columns).alias("p"), F.floor(F.col(pos) / width).alias("__bin"))
-    a = areas.where("start < end").select(*(F.col(k).alias(f"__{k}") for k in keys), F.struct(*areas.columns).alias("a"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("__bin"))
-    at = F.col(f"p.{pos}")
-    return p.join(a, [*(f"__{k}" for k in keys), "__bin"]).where((at >= F.col("a.start")) & (at < F.col("a.end"))).select("p", "a")
+    as_area = points.select(*keys, F.col(pos).cast("long").alias("start"), (F.col(pos).cast("long") + 1).alias("end"), F.struct(*points.columns).alias("p"))
+    return overlap_join(as_area, areas, keys, width).select(F.col("l.p").alias("p"), F.col("r").alias("a"))
 
 
 def latest_start(points: DataFrame, areas: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -94,12 +123,25 @@ def latest_start(points: DataFrame, areas: DataFrame, keys: list[str], pos: str)
 
 def gaps(areas: DataFrame, keys: list[str]) -> DataFrame:
     """The gaps between merged intervals."""
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    return areas.select(*keys, reach.alias("gap_start"), F.col("start").alias("gap_end")).where("gap_start < gap_end")
+    own = largest_before(areas.select(*keys, "start", "end"), keys, ["start", "end"], "end", "gap_start")
+    return own.select(*keys, "gap_start", F.col("start").alias("gap_end")).where("gap_start < gap_end")
 
 
 def clear_of_others(segments: DataFrame, keys: list[str], gene: str, width: int) -> DataFrame:
     """Segments that overlap no segment of another gene (A6; Q4: the stated intent)."""
     hit = overlap_join(segments, segments, keys, width).where(F.col(f"l.{gene}") != F.col(f"r.{gene}")).select(*(F.col(f"l.{c}").alias(c) for c in segments.columns)).distinct()
     return segments.join(hit, segments.columns, "left_anti")
+
+
+def annotation_counts(reads: DataFrame, areas: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
+    """``areas`` with length, reads inside and over each, and the latter per kilobase and million reads.
+
+    ``ident`` tells the areas apart. log2_rpkm is of the value and 1.
+    """
+    total = reads.agg(F.count("*").alias("__all"))  # one row
+    inside = contained(reads.select(*keys, "start", "end"), areas.select(*keys, "start", "end", ident), keys, width)
+    inside = inside.groupBy(F.col(f"r.{ident}").alias(ident)).agg(F.count("*").alias("in_count"))
+    got = overlap_counts(reads, areas, keys).withColumnRenamed("n", "over_count").join(inside, ident, "left").join(F.broadcast(total), F.lit(True))
+    length = F.col("end") - F.col("start")
+    rpkm = F.when(length > 0, F.col("over_count") / (length / 1000) / (F.col("__all") / 1e6))
+    return got.withColumns({"length": length, "in_count": F.coalesce("in_count", F.lit(0)), "rpkm": rpkm, "log2_rpkm": F.log2(rpkm + 1)}).drop("__all")

@@ -163,3 +163,14 @@ def simulated(spark, n: int, genome: str, length: int, seed: int) -> DataFrame:
     reads = spark.range(n).select("id", h.cast("int").alias("pos"), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(2)) == 1).alias("reverse"))
     seq = F.lit(genome).substr(F.col("pos") + 1, F.lit(length))
     return reads.withColumn("seq", F.when(F.col("reverse"), sq.reverse_complement(seq)).otherwise(seq))
+
+
+def segment_information(obs: DataFrame, gap: int) -> DataFrame:
+    """(start, end, sites): sites at most ``gap`` apart as one nested row; sites: array<struct<pos, bases, samples>>."""
+    from lociform.operators.sweep import islands, previous
+
+    sites = obs.groupBy("pos").agg(F.count("*").alias("bases"), F.count_distinct("sample").alias("samples"))
+    seen = previous(sites.withColumn("__k", F.lit(0)), ["__k"], ["pos"], F.col("pos"), "__before")
+    cut = islands(seen, ["__k"], ["pos"], F.coalesce(F.col("pos") - F.col("__before") > gap, F.lit(True)), "__segment")
+    got = cut.groupBy("__segment").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.array_sort(F.collect_list(F.struct("pos", "bases", "samples"))).alias("sites"))
+    return got.drop("__segment")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociform.scratch import stored
+
 
 def concatenated(parts: Sequence[DataFrame], source: str = "source") -> DataFrame:
     """Bag union with the number of the part that a row is from."""
@@ -58,18 +60,15 @@ def indexed(df: DataFrame, name: str, index: str) -> DataFrame:
     """``df`` with dense indices of a name's sorted distinct values.
 
     The distinct values are ranged over partitions and numbered by partition counts, so
-    no task orders all of them.
+    no task orders all of them. Rows whose name is null have no index and are left out.
     """
-    spark = df.sparkSession
-    names = df.select(name).distinct().repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), name).sortWithinPartitions(name)
-    numbered = names.select(name, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i"))
-    numbered = numbered.persist()
-    sizes = dict(numbered.groupBy("__p").count().collect())  # one number for each partition
-    offset, at = F.lit(0).cast("long"), 0
-    for p in sorted(sizes):
-        offset = F.when(F.col("__p") == p, F.lit(at).cast("long")).otherwise(offset)
-        at += sizes[p]
-    return df.join(numbered.select(name, (offset + F.col("__i")).alias(index)), name)
+    names = df.select(name).where(F.col(name).isNotNull()).distinct().repartitionByRange(name).sortWithinPartitions(name)
+    # written before the counts: a range may be cut differently when it is computed again
+    numbered = stored(names.select(name, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__i")))
+    sizes = numbered.groupBy("__p").agg(F.count("*").alias("n"))  # one row for each partition
+    before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", before.alias("__before"))
+    return df.join(numbered.join(F.broadcast(offsets), "__p").select(name, (F.col("__before") + F.col("__i")).alias(index)), name)
 
 
 def spread(df: DataFrame, group: str, order: str, parts: int) -> DataFrame:
@@ -85,3 +84,14 @@ def set_union(sets: Sequence[DataFrame], key: str) -> DataFrame:
 def write_sorted(df: DataFrame, keys: Sequence[str], path: str, rows_a_file: int = 0) -> None:
     """Parquet in the order of ``keys``: ranges over files, sorted inside, so footers prune seeks."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+
+def with_origins(df: DataFrame, source: str, origin: str, attributes: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with origins numbered anew over all sources, and attributes that are set for all.
+
+    The table of origins, a row for each read group of a source, is ordered in one task.
+    """
+    groups = df.select(source, origin).distinct()
+    new = groups.withColumn("__new", (F.dense_rank().over(W.orderBy(source, origin)) - 1).cast("long"))
+    out = df.join(new, [source, origin]).drop(origin).withColumnRenamed("__new", origin)
+    return out.withColumns({n: F.lit(v) for n, v in (attributes or {}).items()})

@@ -255,3 +255,55 @@ def somatic(sites: DataFrame) -> DataFrame:
     strict = ok & (F.col("parent_most") <= 0) & (F.col("germline_most") <= 10)
     priority = 1e8 * (F.col("count") / F.col("reads") - F.col("relative_count") / F.col("relative_reads"))
     return sites.withColumns({"frequency": freq, "candidate": ok, "strict": strict, "priority": priority}).where("candidate")
+
+
+def observation_lines(df: DataFrame) -> DataFrame:
+    """(value): observations of pairs as tab-separated lines, nulls as empty cells."""
+    return df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
+
+
+def top_elements(df: DataFrame, statistic: str, index: str, n: int, falling: bool = True) -> DataFrame:
+    """The n first elements by a statistic, nulls last, then by index, with their ``place`` from 1."""
+    by = F.col(statistic).desc_nulls_last() if falling else F.col(statistic).asc_nulls_last()
+    first = df.orderBy(by, F.col(index)).limit(n)
+    return first.withColumn("place", F.row_number().over(W.orderBy(by, F.col(index))))  # n rows
+
+
+def tally_bases(counts: DataFrame, keys: list[str], least: int = 30, cutoff: float = 0.0) -> DataFrame:
+    """``counts`` (keys, a, b) with the log fold change of sites that reach ``least`` and the cutoff.
+
+    The change is of shares: totals are those of all rows.
+    """
+    totals = counts.agg(F.sum("a").alias("__sa"), F.sum("b").alias("__sb"))  # one row
+    fold = F.log1p("a") - F.log1p("b") - F.log("__sa") + F.log("__sb")
+    got = counts.join(F.broadcast(totals), F.lit(True)).where(F.col("a") + F.col("b") >= least).withColumn("fold", fold)
+    return got.where(F.abs("fold") >= cutoff).select(*keys, "a", "b", "fold")
+
+
+def offset_differences(a: DataFrame, b: DataFrame, keys: list[str], reach: int = 10) -> DataFrame:
+    """(offset, difference): the summed differences of two step functions over all their segments, with the second
+    moved by each offset from -reach to reach (T29)."""
+    from lociform.operators.coverage import step_union
+
+    each = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")
+    still, moved = a.select("*", each), b.select("*", each).withColumn("start", F.col("start") + F.col("offset"))
+    both = step_union({"a": still, "b": moved}, ["offset", *keys])
+    return both.groupBy("offset").agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("difference"))
+
+
+#: Statistics of compared groups by name: values (element, sample, grp, count, value) and two groups in, one row for each element out.
+STATISTICS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {
+    "fold-change": lambda v, a, b: fold_changes(group_averages(v), a, b),
+    "t-test": lambda v, a, b: t_test_p(t_tests(v, a, b)),
+    "fisher": lambda v, a, b: fisher(two_by_two(v, a, b)),
+    "chi-square": lambda v, a, b: chi_square(v),
+}
+
+
+def evaluated(values: DataFrame, names: list[str], a: str, b: str) -> DataFrame:
+    """The registered statistics side by side, columns named ``statistic.column``."""
+    out = values.select("element").distinct()
+    for name in names:
+        got = STATISTICS[name](values, a, b)
+        out = out.join(got.select("element", *(F.col(c).alias(f"{name}.{c}") for c in got.columns if c != "element")), "element", "left")
+    return out

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociform.scratch import stored
+
 CIGAR = re.compile(r"([0-9]+)([MIDNSHP=X])")
 MD = re.compile(r"([0-9]+)|\^([A-Z]+)|([A-Z])")
 
@@ -174,24 +176,48 @@ def realign_score(read: str, genome: str, start: int, at: int, length: int, dele
     return score
 
 
-def realigned(reads: DataFrame, indels: DataFrame, genome: str, reach: int = 100) -> DataFrame:
+def realigned(reads: DataFrame, indels: DataFrame, genome: DataFrame, size: int, reach: int = 100) -> DataFrame:
     """reads (target, start, end, seq, score) with the best positive indel shift near them.
 
-    A range join brings each read its candidate indels; the genome is one sequence of a
-    bounded size, as for a slice.
+    ``genome``: blocks (target, block, bases) of ``size`` bases. A range join brings each read
+    its candidate indels, and a join by block the stretch of the reference around it, so no
+    task holds a whole sequence. Reads with nulls and repeated reads are kept as they are;
+    a read without a gain has a null shift.
     """
     from lociform.operators.intervals import overlap_join
 
+    own = stored(reads.withColumn("__id", F.monotonically_increasing_id()))
     near = indels.select("target", (F.col("at") - 1).alias("start"), (F.col("at") + 1).alias("end"), "at", "length", "deletion")
-    pairs = overlap_join(reads, near, ["target"], reach)
+    asked = own.where("seq IS NOT NULL AND start IS NOT NULL").select("__id", "target", "start", "end", "seq")
+    pairs = overlap_join(asked, near, ["target"], reach).select("l.*", "r.at", "r.length", "r.deletion")
+    low = F.greatest(F.col("start") - F.col("length"), F.lit(0))
+    high = F.col("start") + F.length("seq") + F.col("length")
+    blocks = F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+    pieces = pairs.withColumn("__low", low).withColumn("block", blocks).join(genome.select("target", "block", F.col("bases").alias("__piece")), ["target", "block"])
+    keys = ["__id", "start", "seq", "at", "length", "deletion", "__low"]
+    around = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "__piece"))).alias("__p"))
+    stretch = around.select("*", (F.element_at("__p", 1)["block"] * size).alias("__begin"), F.array_join(F.transform("__p", lambda x: x["__piece"]), "").alias("__genome"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["gain"] = [realign_score(s, g, int(p - o), int(a - o), int(n), bool(d)) for s, g, p, o, a, n, d in zip(b["seq"], b["__genome"], b["start"], b["__begin"], b["at"], b["length"], b["deletion"], strict=True)]
+            yield b[["__id", "at", "length", "deletion", "gain"]]
+
+    kinds = dict(stretch.dtypes)
+    wanted = stretch.select("__id", "start", "seq", "at", "length", "deletion", "__begin", "__genome")
+    scored = wanted.mapInPandas(run, f"__id bigint, at {kinds['at']}, length {kinds['length']}, deletion boolean, gain bigint").where("gain > 0")
+    best = scored.groupBy("__id").agg(F.max_by(F.struct("at", "length", "deletion"), F.struct("gain", "at")).alias("shift"), F.max("gain").alias("gain"))
+    return own.join(best, "__id", "left").drop("__id").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0)))
+
+
+def indel_alleles(df: DataFrame, source: str, targets: str) -> DataFrame:
+    """``df`` with ``ref`` and ``alts`` of a gapped allele and the array of its alternates (C16); null alleles stay null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["gain"] = [realign_score(s, genome, int(p), int(a), int(n), bool(d)) for s, p, a, n, d in zip(b["seq"], b["start"], b["at"], b["length"], b["deletion"], strict=True)]
+            got = [(None, None) if s is None or t is None else vcf_indel(s, list(t)) for s, t in zip(b[source], b[targets], strict=True)]
+            b["ref"], b["alts"] = [g[0] for g in got], [g[1] for g in got]
             yield b
 
-    flat = pairs.select("l.*", "r.at", "r.length", "r.deletion")
-    kinds = ", ".join(f"`{n}` {t}" for n, t in flat.dtypes)
-    scored = flat.mapInPandas(run, f"{kinds}, gain bigint").where("gain > 0")
-    best = scored.groupBy(*reads.columns).agg(F.max_by(F.struct("at", "length", "deletion"), F.struct("gain", "at")).alias("shift"), F.max("gain").alias("gain"))
-    return reads.join(best, reads.columns, "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0)))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInPandas(run, f"{kinds}, ref string, alts array<string>")

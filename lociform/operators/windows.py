@@ -2,44 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociform.operators.sweep import islands, largest_before, previous, reaching, running_sum
+
 
 def trailing(df: DataFrame, keys: list[str], pos: str, distance: int, values: dict[str, Column]) -> DataFrame:
-    """Aggregates over the ``distance`` positions up to each row."""
-    w = W.partitionBy(*keys).orderBy(pos).rangeBetween(-distance, 0)
-    return df.withColumns({n: c.over(w) for n, c in values.items()})
+    """Aggregates over the ``distance`` positions up to each row.
+
+    Blocks of ``distance`` positions are windowed by themselves; each also holds the rows of the block before.
+    """
+    near = reaching(df, keys, pos, distance)
+    w = W.partitionBy(*keys, "__blk").orderBy(pos).rangeBetween(-distance, 0)
+    return near.withColumns({n: c.over(w) for n, c in values.items()}).where("__own").drop("__blk", "__own")
 
 
 def last_sites(df: DataFrame, keys: list[str], order: list[str], n: int, values: dict[str, Column]) -> DataFrame:
-    """Aggregates over the last n rows."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    return df.withColumns({k: c.over(w) for k, c in values.items()})
+    """Aggregates over the last n rows in a unique order (W13), in blocks of rows that also hold the n - 1 rows before."""
+    block = max(n, 1 << 16)
+    ranked = running_sum(df.withColumn("__one", F.lit(1).cast("long")), keys, order, {"__rank": "__one"}).drop("__one")
+    near = reaching(ranked, keys, "__rank", block).where(F.col("__own") | (F.col("__rank") % block > block - n))
+    w = W.partitionBy(*keys, "__blk").orderBy(*order).rowsBetween(1 - n, 0)
+    return near.withColumns({k: c.over(w) for k, c in values.items()}).where("__own").drop("__blk", "__own", "__rank")
 
 
 def previous_distance(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """Distance to the position before."""
-    return df.withColumn("distance", F.col(pos) - F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
+    return previous(df, keys, [pos], F.col(pos), "__before").withColumn("distance", F.col(pos) - F.col("__before")).drop("__before")
 
 
-def anchored(df: DataFrame, keys: list[str], threshold: int, anchor: str = "first") -> DataFrame:
-    """(keys, start, end, n): runs of sorted intervals that lie within ``threshold`` of their anchor (W7; Q12).
+def _folded(pieces: DataFrame, keys: list[str], columns: list[str], joins: Callable[[tuple, list], bool], moves: Callable[[tuple, list], None]) -> DataFrame:
+    """(keys, start, end, n): runs of the rows of each ``__piece`` in the order of start and end.
 
-    ``anchor`` is the run's ``first`` or ``last`` interval; end is exclusive. Where an
-    interval begins further than the threshold behind all before it, a run ends for either
-    anchor, so each stretch between such gaps is folded by itself, in order and with one
-    anchor in memory.
+    A row (start, end, ...) joins the run [start, end, n, anchor] if ``joins`` says so, and ``moves`` the
+    anchor. A task holds one run at a time.
     """
-    w = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = df.select(*keys, "start", "end").withColumn("__cut", F.coalesce((F.col("start") - reach > threshold).cast("int"), F.lit(1)))
-    piece = cut.withColumn("__piece", F.sum("__cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    ordered = piece.repartition(*keys, "__piece").sortWithinPartitions(*keys, "__piece", "start", "end").select(*keys, "__piece", "start", "end")
+    ordered = pieces.repartition(*keys, "__piece").sortWithinPartitions(*keys, "__piece", "start", "end").select(*keys, "__piece", *columns)
     n_keys = len(keys) + 1
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,15 +51,14 @@ def anchored(df: DataFrame, keys: list[str], threshold: int, anchor: str = "firs
         for batch in batches:
             done = []
             for row in batch.itertuples(index=False, name=None):
-                key, s, e = row[:n_keys], row[-2], row[-1]
-                if key == now and s - run[3] <= threshold:
-                    run[1], run[2] = max(run[1], e), run[2] + 1
-                    if anchor == "last":
-                        run[3] = e
+                key, own = row[:n_keys], row[n_keys:]
+                if key == now and joins(own, run):
+                    run[1], run[2] = max(run[1], own[1]), run[2] + 1
+                    moves(own, run)
                 else:
                     if now is not None:
                         done.append((*now[:-1], *run[:3]))
-                    now, run = key, [s, e, 1, e]
+                    now, run = key, [own[0], own[1], 1, own[-1]]
             yield pd.DataFrame(done, columns=[*keys, "start", "end", "n"])
         if now is not None:
             yield pd.DataFrame([(*now[:-1], *run[:3])], columns=[*keys, "start", "end", "n"])
@@ -65,30 +67,32 @@ def anchored(df: DataFrame, keys: list[str], threshold: int, anchor: str = "firs
     return ordered.mapInPandas(fold, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "start bigint", "end bigint", "n bigint"]))
 
 
-def by_difference(df: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
-    """As ``anchored``, by the difference of a value to that of the run's first interval."""
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, "start", "end").select(*keys, "start", "end", value)
-    n_keys = len(keys)
+def anchored(df: DataFrame, keys: list[str], threshold: int, anchor: str = "first") -> DataFrame:
+    """(keys, start, end, n): runs of sorted intervals that lie within ``threshold`` of their anchor (W7; Q12).
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: tuple | None = None
-        run: list = []
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False, name=None):
-                key, s, e, v = row[:n_keys], row[-3], row[-2], row[-1]
-                if key == now and abs(v - run[3]) <= threshold:
-                    run[1], run[2] = max(run[1], e), run[2] + 1
-                else:
-                    if now is not None:
-                        done.append((*now, *run[:3]))
-                    now, run = key, [s, e, 1, v]
-            yield pd.DataFrame(done, columns=[*keys, "start", "end", "n"])
-        if now is not None:
-            yield pd.DataFrame([(*now, *run[:3])], columns=[*keys, "start", "end", "n"])
+    ``anchor`` is the run's ``first`` or ``last`` interval; end is exclusive. Where an
+    interval begins further than the threshold behind all before it, a run ends for either
+    anchor, so each stretch between such gaps is folded by itself.
+    """
+    own = largest_before(df.select(*keys, "start", "end"), keys, ["start", "end"], "end", "__reach")
+    pieces = islands(own, keys, ["start", "end"], F.coalesce(F.col("start") - F.col("__reach") > threshold, F.lit(True)), "__piece")
 
-    kinds = dict(ordered.dtypes)
-    return ordered.mapInPandas(fold, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "start bigint", "end bigint", "n bigint"]))
+    def moves(row: tuple, run: list) -> None:
+        if anchor == "last":
+            run[3] = row[1]
+
+    return _folded(pieces, keys, ["start", "end"], lambda row, run: row[0] - run[3] <= threshold, moves)
+
+
+def by_difference(df: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
+    """As ``anchored``, by the difference of a value to that of the run's first interval.
+
+    Where the value changes by more than twice the threshold from one interval to the next
+    a run ends whatever its anchor is, so each stretch between such changes is folded by itself.
+    """
+    own = previous(df.select(*keys, "start", "end", value), keys, ["start", "end"], F.col(value), "__before")
+    pieces = islands(own, keys, ["start", "end"], F.coalesce(F.abs(F.col(value) - F.col("__before")) > 2 * threshold, F.lit(True)), "__piece")
+    return _folded(pieces, keys, ["start", "end", value], lambda row, run: abs(row[2] - run[3]) <= threshold, lambda row, run: None)
 
 
 def slices(df: DataFrame, target: str, pos: str, n: int) -> DataFrame:
@@ -160,9 +164,8 @@ def differing_regions(sites: DataFrame, key: str, p_most: float = 0.01, least_si
     """
     from lociform.functions.tails import fisher_two_sided
 
-    w = W.partitionBy(key).orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(w) > gap).cast("int"), F.lit(1))
-    cut = sites.withColumn("__new", new).withColumn("__part", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seen = previous(sites, [key], ["pos"], F.col("pos"), "__before")
+    cut = islands(seen, [key], ["pos"], F.coalesce(F.col("pos") - F.col("__before") > gap, F.lit(True)), "__part")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -184,3 +187,27 @@ def differing_regions(sites: DataFrame, key: str, p_most: float = 0.01, least_si
 
     kind = dict(sites.dtypes)[key]
     return cut.select(key, "__part", "pos", "ma", "ua", "mb", "ub").groupBy(key, "__part").applyInPandas(search, f"`{key}` {kind}, start bigint, end bigint, sites bigint, p double")
+
+
+def per_target(df: DataFrame, key: str, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """A fold over each key's rows in any order (W17, E3): ``state = step(state, batch)``, then rows ``finish(key, state)``.
+
+    A key's batches stream through one task with only its state in memory.
+    """
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    ordered = df.repartition(key).sortWithinPartitions(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begun = None, None, False
+        for batch in batches:
+            done: list = []
+            for own, part in batch.groupby(key, sort=False, dropna=False):
+                if begun and own != now:
+                    done += finish(now, state)
+                    state = None
+                now, state, begun = own, step(state, part), True
+            yield pd.DataFrame(done, columns=names)
+        if begun:
+            yield pd.DataFrame(finish(now, state), columns=names)
+
+    return ordered.mapInPandas(run, schema)

@@ -44,6 +44,17 @@ class Tables:
         start = days("o_orderdate")
         return self["orders"].select((F.col("o_custkey") % 10).alias("target"), start.alias("start"), (start + 3).alias("end"), (F.col("o_custkey") % 500).alias("gene"))
 
+    @cached_property
+    def far(self) -> DataFrame:
+        """Reads on a long axis, over many blocks of the sweeps."""
+        start = F.col("start") * 50021 + F.col("part")
+        return self.aln.select((F.col("target") % 3).alias("target"), start.alias("start"), (start + F.col("length") * 2003).alias("end"), (start + F.col("length") * 3).alias("near_end"), "query", "number")
+
+    @property
+    def thin(self) -> DataFrame:
+        """The same with short reads, most of which lie apart."""
+        return self.far.select("target", "start", F.col("near_end").alias("end"))
+
     @cached_property
     def obs(self) -> DataFrame:
         """Bases seen at sites."""
@@ -71,6 +82,8 @@ ANN = f"""ann AS (SELECT o_custkey % 10 AS target, CAST(date_diff('day', {DAY},
   CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) + 30 AS "end", o_custkey AS gene, o_orderkey AS segment FROM orders)"""
 EXONS = f"""exons AS (SELECT o_custkey % 10 AS target, CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) AS start,
   CAST(date_diff('day', {DAY}, CAST(o_orderdate AS DATE)) AS BIGINT) + 3 AS "end", o_custkey % 500 AS gene FROM orders)"""
+FAR = f"""{ALN}, far AS (SELECT target % 3 AS target, start * 50021 + part AS start, start * 50021 + part + length * 2003 AS "end", start * 50021 + part + length * 3 AS near_end, query, number FROM aln)"""
+THIN = f'{FAR}, thin AS (SELECT target, start, near_end AS "end" FROM far)'
 OBS = """obs AS (SELECT l_partkey AS pos, l_returnflag AS sample, CASE WHEN l_returnflag = 'N' THEN 'B' ELSE 'A' END AS grp, CAST(l_linenumber % 4 AS BIGINT) AS allele,
   l_linestatus AS strand, CAST(l_quantity AS BIGINT) AS quality, l_orderkey AS read, l_orderkey % 50 AS read_index FROM lineitem)"""
 SITES = "sites AS (SELECT event_type AS target, CAST(floor(epoch(ts)) AS BIGINT) AS pos, value, event_id AS id, user_id FROM events)"

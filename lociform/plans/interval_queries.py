@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lociform.operators import coverage as cov
 from lociform.operators import intervals as iv
-from lociform.plans.bindings import ALN, ANN, EXONS, SITES, Tables, runs_of
+from lociform.plans.bindings import ALN, ANN, EXONS, FAR, SITES, THIN, Tables, runs_of
 from lociform.plans.registry import query
 
 KEYS = ["target"]
@@ -72,7 +72,7 @@ def gene_expression_count(t):
 @query(f"""{RUNS}, {ANN} SELECT a.target, a.segment, round(coalesce(sum((least(r.start + r.length, a."end") - greatest(r.start, a.start)) * r.count), 0) / 30, 6) AS mean_depth
   FROM ann a LEFT JOIN runs r ON r.target = a.target AND r.start < a."end" AND r.start + r.length > a.start GROUP BY a.target, a.segment""")
 def interval_mean_depth(t):
-    return iv.mean_depth(runs(t), t.ann, KEYS, 32).select("target", "segment", F.round("mean_depth", 6).alias("mean_depth"))
+    return iv.mean_depth(runs(t), t.ann, KEYS).select("target", "segment", F.round("mean_depth", 6).alias("mean_depth"))
 
 
 WANTED = "wanted AS (SELECT l_suppkey % 10 AS target, l_partkey AS pos, count(*) AS n FROM lineitem GROUP BY ALL)"
@@ -111,13 +111,12 @@ def _union_sql(offset: int = 0) -> str:
 
 @query(_union_sql())
 def step_union(t):
-    return cov.step_union({s: sample_runs(t, s) for s in "ANR"}, KEYS)
+    return cov.sample_union(t.aln, KEYS, "start", "end", "sample", list("ANR"))
 
 
 @query(_union_sql(7))
 def step_union_offset(t):
-    shifted = sample_runs(t, "R").withColumn("start", F.col("start") + 7)
-    return cov.step_union({"A": sample_runs(t, "A"), "N": sample_runs(t, "N"), "R": shifted}, KEYS)
+    return cov.sample_union(t.aln, KEYS, "start", "end", "sample", list("ANR"), {"R": 7})
 
 
 HIST = f"{RUNS}, hist AS (SELECT target, count AS depth, CAST(sum(length) AS BIGINT) AS sites, CAST(sum(length * count) AS BIGINT) AS bases FROM runs GROUP BY ALL)"
@@ -244,3 +243,42 @@ def bedgraph(t):
 def runs_from_positions(t):
     at = t.sites.groupBy("target", "pos").agg(F.count("*").alias("v"))
     return cov.rle(at, KEYS, "pos", "v")
+
+
+# the same on an axis of many blocks
+
+
+@query(f"WITH {FAR}, {runs_of('far', 'runs')} SELECT * FROM runs")
+def far_coverage(t):
+    return cov.coverage(t.far, KEYS, "start", "end", leading=False)
+
+
+@query(f"WITH {FAR}, {runs_of('far', 'runs')}, {_peaks_sql(2)} SELECT * FROM peaks")
+def far_peaks(t):
+    return cov.peaks(cov.coverage(t.far, KEYS, "start", "end", leading=False), KEYS, 2)
+
+
+@query(f"""WITH {THIN}, {_merged_sql("thin", "merged", 5)} SELECT * FROM merged""")
+def far_merged(t):
+    return cov.merged_intervals(t.thin, KEYS, "start", "end", 5)
+
+
+@query(f"""WITH {THIN}, few AS (SELECT DISTINCT * FROM thin) SELECT target, s AS gap_start, e AS gap_end FROM (SELECT target, max("end") OVER (PARTITION BY target ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s, start AS e FROM few) WHERE s < e""")
+def far_gaps(t):
+    return iv.gaps(t.thin.distinct(), KEYS)
+
+
+@query(f"""WITH {FAR}, d AS (SELECT DISTINCT target, start AS pos FROM far) SELECT target, pos, pos - lag(pos) OVER w AS distance, count(*) OVER (PARTITION BY target ORDER BY pos RANGE BETWEEN 300000 PRECEDING AND CURRENT ROW) AS near FROM d WINDOW w AS (PARTITION BY target ORDER BY pos)""")
+def far_neighbours(t):
+    from lociform.operators import windows as wi
+
+    d = t.far.select("target", F.col("start").alias("pos")).distinct()
+    return wi.trailing(wi.previous_distance(d, KEYS, "pos"), KEYS, "pos", 300000, {"near": F.count("*")})
+
+
+@query(f"""WITH {FAR}, wide AS (SELECT target, start, CASE WHEN query % 2000 = 0 THEN start + 40000000 ELSE near_end END AS "end", query, number FROM far)
+  SELECT a.query AS a, a.number AS a_number, count(*) AS n FROM wide a JOIN wide b ON a.target = b.target AND a.start < b."end" AND b.start < a."end" GROUP BY ALL""")
+def far_overlaps(t):
+    """Long and short intervals in one join, which deals them to levels of bins."""
+    wide = t.far.select("target", "start", F.when(F.col("query") % 2000 == 0, F.col("start") + 40000000).otherwise(F.col("near_end")).alias("end"), "query", "number")
+    return iv.overlap_join(wide, wide, KEYS, 128).groupBy(F.col("l.query").alias("a"), F.col("l.number").alias("a_number")).agg(F.count("*").alias("n"))

@@ -21,9 +21,9 @@ def reference_filter(t):
     return fl.named(t.aln, "target", "1, 4,7").select("target", "start", "query", "number")
 
 
-@query(f"WITH {ALN} SELECT query, number, start, start >= 500 AS emit FROM aln WHERE start BETWEEN 450 AND 700")
+@query(f"WITH {ALN} SELECT query, number, start, start >= 1200 AS emit FROM aln WHERE start BETWEEN 1150 AND 1500")
 def window_with_flap(t):
-    return fl.with_flap(t.aln, "start", 500, 700, 50).select("query", "number", "start", "emit")
+    return fl.with_flap(t.aln, "start", 1200, 1500, 50).select("query", "number", "start", "emit")
 
 
 @query(f"WITH {ALN} SELECT query, number, score FROM aln QUALIFY score = max(score) OVER (PARTITION BY query)")

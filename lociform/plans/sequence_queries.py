@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociform.functions import sequences as sq
+from lociform.operators import discovery as di
 from lociform.operators import reads as rd
 from lociform.operators import sets as se
+from lociform.operators import statistics as stat
 from lociform.operators import variants as va
 from lociform.operators import windows as wi
 from lociform.plans.bindings import ALN, EXONS, OBS, SITES, Tables
@@ -103,8 +105,7 @@ def property_extremes(t):
 
 @query(f"WITH {OBS} SELECT read_index, sample, count(*) FILTER (allele <> 0) AS variants, count(*) FILTER (allele = 0) AS reference FROM obs GROUP BY ALL")
 def variation_by_cycle(t):
-    n = lambda c: F.sum(c.cast("long"))
-    return t.obs.groupBy("read_index", "sample").agg(n(F.col("allele") != 0).alias("variants"), n(F.col("allele") == 0).alias("reference"))
+    return di.by_read_index(t.obs)
 
 
 @query(f"WITH {READS}, g AS (SELECT doc_id % 5 AS target, string_agg(seq, '' ORDER BY doc_id) AS seq FROM reads GROUP BY ALL), p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 5 AS target, l_partkey % 900 AS pos FROM lineitem) SELECT l_orderkey, l_linenumber, substr(seq, CAST(pos AS INT) + 1, 6) AS bases FROM p JOIN g USING (target)")
@@ -167,7 +168,9 @@ def peak_chain_merge(t):
     return wi.anchored(t.exons, ["target"], 4, "last")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EXONS}, v AS (SELECT target, start AS s, "end" AS e, CAST(count(*) AS DOUBLE) AS v FROM exons GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY s, e) AS r FROM v),
+  a AS (SELECT target, r, s AS start, e, v AS anchor, 1 AS run FROM o WHERE r = 1 UNION ALL SELECT o.target, o.r, CASE WHEN abs(o.v - a.anchor) <= 1 THEN a.start ELSE o.s END, o.e, CASE WHEN abs(o.v - a.anchor) <= 1 THEN a.anchor ELSE o.v END, a.run + CASE WHEN abs(o.v - a.anchor) <= 1 THEN 0 ELSE 1 END
+   FROM a JOIN o ON o.target = a.target AND o.r = a.r + 1) SELECT target, min(start) AS start, max(e) AS "end", count(*) AS n FROM a GROUP BY target, run""")
 def peak_value_merge(t):
     own = t.exons.groupBy("target", "start", "end").agg(F.count("*").cast("double").alias("value"))
     return wi.by_difference(own, ["target"], "value", 1.0)
@@ -242,9 +245,7 @@ def equivalent_indels(t):
 def tally_bases(t):
     n = lambda s: F.sum((F.col("sample") == s).cast("long"))
     c = t.obs.groupBy("pos").agg(n("A").alias("a"), n("N").alias("b"))
-    totals = c.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    fold = F.log1p("a") - F.log1p("b") - F.log("sa") + F.log("sb")
-    return c.join(F.broadcast(totals), F.lit(True)).where("a + b >= 30").select("pos", F.round(fold, 6).alias("fold"))
+    return stat.tally_bases(c, ["pos"]).select("pos", F.round("fold", 6).alias("fold"))
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_returnflag || l_linestatus) IN ('AF', 'NF') AS ti FROM lineitem")

@@ -121,19 +121,30 @@ def within_group_pairs(t):
     return st.within_group(st.with_groups(t.matrix, GROUPS))
 
 
-@query()
+@query(f"""WITH {MATRIX}, o AS (SELECT *, {GRP} AS grp, sum(count) OVER (PARTITION BY sample) AS t FROM matrix), x AS (SELECT l.element, l.grp, l.sample AS s1, r.sample AS s2, l.count AS a, r.count AS b, CAST(l.t - l.count AS BIGINT) AS rest_a, CAST(r.t - r.count AS BIGINT) AS rest_b FROM o l JOIN o r ON l.element = r.element AND l.grp = r.grp AND l.sample < r.sample),
+  k AS (SELECT *, unnest(range(greatest(0, a - rest_b), least(a + b, a + rest_a) + 1)) AS k FROM x), p AS (SELECT *, exp({lf('a + b')} + {lf('rest_a + rest_b')} + {lf('a + rest_a')} + {lf('b + rest_b')} - {lf('a + b + rest_a + rest_b')} - {lf('k')} - {lf('a + b - k')} - {lf('a + rest_a - k')} - {lf('rest_b - a + k')}) AS w FROM k),
+  q AS (SELECT element, grp, s1, s2, least(1.0, sum(w) FILTER (w <= own * (1 + 1e-7))) AS p FROM (SELECT *, max(w) FILTER (k = a) OVER (PARTITION BY element, s1, s2) AS own FROM p) GROUP BY ALL) SELECT element, grp, round(avg(p), 5) AS mean_p, round(min(p), 5) AS min_p FROM q GROUP BY ALL""")
 def within_group_variability(t):
     p = st.fisher(st.within_group(st.with_groups(t.matrix, GROUPS)))
-    return p.groupBy("element", "grp").agg(F.avg("p").alias("mean_p"), F.min("p").alias("min_p"))
+    return p.groupBy("element", "grp").agg(F.round(F.avg("p"), 5).alias("mean_p"), F.round(F.min("p"), 5).alias("min_p"))
 
 
-@query()
+@query(f"""WITH {MATRIX}, o AS (SELECT element, CAST(coalesce(sum(count) FILTER ({GRP} = 'A'), 0) AS BIGINT) AS a, CAST(coalesce(sum(count) FILTER ({GRP} = 'N'), 0) AS BIGINT) AS b, CAST(coalesce(sum(count) FILTER ({GRP} = 'R'), 0) AS BIGINT) AS c FROM matrix GROUP BY element),
+  x AS (SELECT *, a + b + c AS r, CAST(sum(a) OVER () AS BIGINT) AS ca, CAST(sum(b) OVER () AS BIGINT) AS cb, CAST(sum(c) OVER () AS BIGINT) AS cc, CAST(sum(a + b + c) OVER () AS BIGINT) AS n FROM o), w AS (SELECT *, CAST(15 * sqrt(r) AS BIGINT) + 20 AS reach, CAST(r * ca // n AS BIGINT) AS ma, CAST(r * cb // n AS BIGINT) AS mb FROM x),
+  i AS (SELECT *, unnest(range(greatest(0, ma - reach), least(r, ca, ma + reach) + 1)) AS i FROM w), j AS (SELECT *, unnest(range(greatest(0, mb - reach), least(r - i, cb, mb + reach) + 1)) AS j FROM i),
+  p AS (SELECT element, i, j, a, b, {lf('ca')} - {lf('i')} - {lf('ca - i')} + {lf('cb')} - {lf('j')} - {lf('cb - j')} + {lf('cc')} - {lf('r - i - j')} - {lf('cc - r + i + j')} - {lf('n')} + {lf('r')} + {lf('n - r')} AS l FROM j WHERE r - i - j <= cc)
+  SELECT element, 'exact' AS method, round(least(1.0, sum(exp(l)) FILTER (l <= own + 1e-7)), 5) AS p FROM (SELECT *, max(l) FILTER (i = a AND j = b) OVER (PARTITION BY element) AS own FROM p) GROUP BY element""")
 def fisher_r_by_c(t):
+    """Each element's counts in three groups against those of all other elements, exact."""
     from lociform.functions.tails import fisher_p_table
 
-    small = t.matrix.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("sample", "count"))).alias("c"))
-    cells = F.concat(F.transform("c", lambda x: F.floor(x["count"] / 40).cast("int")), F.transform("c", lambda x: (x["count"] % 7).cast("int")))
-    return small.where(F.size("c") > 1).select("element", fisher_p_table(cells, F.size("c")).alias("p"))
+    m = st.with_groups(t.matrix, GROUPS)
+    n = lambda g: F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("count"))), F.lit(0))
+    own = m.groupBy("element").agg(*(n(g).alias(f"n_{g}") for g in "ANR"))
+    both = own.join(F.broadcast(m.agg(*(n(g).alias(f"t_{g}") for g in "ANR"))), F.lit(True))
+    cells = F.array(*(F.col(f"n_{g}").cast("int") for g in "ANR"), *((F.col(f"t_{g}") - F.col(f"n_{g}")).cast("int") for g in "ANR"))
+    got = both.select("element", fisher_p_table(cells, F.lit(3)).alias("f"))
+    return got.select("element", "f.method", F.round("f.p", 5).alias("p"))
 
 
 PV = "pv AS (SELECT event_id, CASE WHEN event_id % 10 = 3 THEN CAST('NaN' AS DOUBLE) ELSE CAST((event_id * 7919) % 10007 AS DOUBLE) / 10007 END AS p FROM events)"

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lociform.functions import sequences as sq
 from lociform.operators import coverage as cv
+from lociform.operators import discovery as di
+from lociform.operators import export as ex
 from lociform.operators import filters as fi
 from lociform.operators import intervals as iv
 from lociform.operators import lookups as lo
@@ -23,7 +25,7 @@ from lociform.operators import sets as se
 from lociform.operators import statistics as st
 from lociform.operators import variants as va
 from lociform.operators import windows as wi
-from lociform.sources import blocks, text, tracks
+from lociform.sources import archive, blocks, chunks, registry, text, tracks
 
 VERBS: dict[str, Callable[..., DataFrame]] = {}
 KEY = ["target"]
@@ -53,6 +55,15 @@ def run(spark: SparkSession, name: str, **options) -> DataFrame:
     return f(spark, **options)
 
 
+def options_of(text: str) -> dict[str, dict[str, str]]:
+    """"name:key=value:key=value,name:..." as options by name (E12); later ones replace earlier ones."""
+    found: dict[str, dict[str, str]] = {}
+    for part in filter(None, text.split(",")):
+        name, *pairs = part.split(":")
+        found.setdefault(name.strip(), {}).update(p.split("=", 1) for p in pairs)
+    return found
+
+
 def _all(spark: SparkSession, paths: str) -> list[DataFrame]:
     return [spark.read.parquet(p) for p in paths.split(",")]
 
@@ -72,6 +83,12 @@ def alignment_to_annotation_counts(spark, input: str, annotations: str) -> DataF
     return iv.overlap_counts(spark.read.parquet(input), spark.read.parquet(annotations), KEY)
 
 
+@verb("alignment-to-segment-counts")
+def alignment_to_segment_counts(spark, input: str, annotations: str, ident: str = "segment", width: int = 1024) -> DataFrame:
+    """Segments with reads inside and over them, lengths and normalised counts."""
+    return iv.annotation_counts(spark.read.parquet(input), spark.read.parquet(annotations), KEY, ident, width)
+
+
 @verb("alignment-to-transcript-counts")
 def alignment_to_transcript_counts(spark, input: str) -> DataFrame:
     got = spark.read.parquet(input).groupBy("target").agg(F.count("*").alias("n"))
@@ -273,6 +290,52 @@ def vcf_compare(spark, a: str, b: str) -> DataFrame:
     return se.compare_calls(left, right, ["chrom", "pos"], "alleles")
 
 
+@verb("discover-sequence-variants")
+def discover_sequence_variants(spark, input: str, format: str = "genotypes") -> DataFrame:
+    """Observations of bases (pos, sample, grp, allele, strand, quality, read_index) in an output format."""
+    return di.discover(spark.read.parquet(input), format)
+
+
+@verb("sequence-variation-stats")
+def sequence_variation_stats(spark, input: str, by: str = "sample") -> DataFrame:
+    return di.by_read_index(spark.read.parquet(input), by)
+
+
+@verb("tally-bases")
+def tally_bases(spark, a: str, b: str, least: int = 30, cutoff: float = 0.0) -> DataFrame:
+    """Log fold changes of two step functions over the segments of both."""
+    one, two = _all(spark, f"{a},{b}")
+    both = cv.step_union({"a": one, "b": two}, KEY)
+    return st.tally_bases(both, ["target", "start", "length"], least, cutoff)
+
+
+@verb("tally-offsets")
+def tally_offsets(spark, a: str, b: str, reach: int = 10) -> DataFrame:
+    return st.offset_differences(*_all(spark, f"{a},{b}"), KEY, reach)
+
+
+@verb("compact-to-sam")
+def compact_to_sam(spark, input: str) -> DataFrame:
+    return ex.sam_records(spark.read.parquet(input))
+
+
+@verb("read")
+def read(spark, input: str, kind: str = "") -> DataFrame:
+    """A data set of any registered format."""
+    return registry.read(spark, input, kind or None)
+
+
+@verb("counts-archive")
+def counts_archive(spark, input: str, member: str = "", target: str = "") -> DataFrame:
+    """Totals of an archive, or one member's runs."""
+    return archive.read_counts(spark, input, member, target or None) if member else archive.totals(spark, input)
+
+
+@verb("expand-chunks")
+def expand_chunks(spark, input: str) -> DataFrame:
+    return chunks.read_chunks(spark, input)
+
+
 @verb("fdr")
 def fdr(spark, inputs: str, p: str = "p", key: str = "element", threshold: float = 0.05) -> DataFrame:
     """Rows of tab-separated tables whose adjusted p is at most the threshold."""

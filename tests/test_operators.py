@@ -235,7 +235,11 @@ def test_realignment(spark):
     assert va.realign_score(shifted, genome, 0, 6, 2, True) > 0
     r = spark.createDataFrame([("t", 0, 12, shifted, 0.0)], "target string, start long, end long, seq string, score double")
     i = spark.createDataFrame([("t", 6, 2, True)], "target string, at long, length long, deletion boolean")
-    assert va.realigned(r, i, genome).first()["score"] > 0
+    r = r.unionByName(spark.createDataFrame([("t", None, None, None, 1.0)], r.schema)).unionByName(r).withColumn("note", F.lit(None).cast("string"))
+    for size in (5, 64):
+        blocks = rd.genome_blocks(spark.createDataFrame([("t", genome)], "n string, s string"), "n", "s", size)
+        got = va.realigned(r, i, blocks, size).collect()
+        assert sorted((x["score"], x["note"]) for x in got) == [(1.0, None), *[(va.realign_score(shifted, genome, 0, 6, 2, True), None)] * 2], size
 
 
 def test_genome_blocks_over_ends(spark):
