@@ -39,7 +39,10 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     speakers = said.where("`by` IS NOT NULL AND `by` != 'system'").select(F.col("conv_id").alias("conv"), F.col("by").alias("speaker")).distinct()
     role = F.when(F.col("by") == F.col("speaker"), "assistant").when(F.coalesce(F.col("by"), F.lit("system")) == "system", "system").otherwise("user")
     name = F.when(role == "user", F.col("by"))
-    rows = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv").withColumn("role", role).withColumn("name", name)
+    # speakers by block, so that a conversation of very many turns is dealt over its blocks
+    blocks = said.select(F.col("conv_id").alias("c"), F.col("block").alias("blk")).distinct()
+    asked = blocks.join(speakers, F.col("c").eqNullSafe(F.col("conv"))).select("conv", "blk", "speaker")
+    rows = said.join(asked, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("block") == F.col("blk"))).drop("conv", "blk").withColumn("role", role).withColumn("name", name)
     head = F.concat(F.lit(OPEN), "role", F.coalesce(F.concat(F.lit(" name="), broken(F.regexp_replace("name", r"[\x00-\x1F\x7F]", " "))), F.lit("")), F.lit("\n"))
     rows = rows.withColumn("rendered", F.concat(head, "content", F.lit(CLOSE + "\n"))).withColumn("size", F.length("rendered").cast("long")).withColumn("head", F.length(head))
     blocks = rows.groupBy("conv_id", "speaker", "block").agg(F.sum("size").alias("total"))

@@ -1,9 +1,10 @@
 """Licence scans with a positional rare-token index.
 
-Templates are short public notices. The index keeps, for each template word, its
-postings (template, position). For a file the words of each template that could be confirmed are looked up, those with the
-highest inverse document frequency (counted over the whole corpus) first and as many as
-no alignment of FLOOR or more can miss. Their positions in the file minus their
+Templates are public notices, whole ones and their first sentences. The index keeps, for
+each template word, its postings (template, position). For a file the words of each
+template that could be confirmed are looked up, those with the highest inverse document
+frequency (counted over the whole corpus) first and as many as no alignment of FLOOR or
+more can miss. Their positions in the file minus their
 positions in the template propose alignments, and an alignment counts only where one of
 the template's mandatory key phrases stands near it.
 """
@@ -40,9 +41,54 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
     "proprietary": ("Copyright. All rights reserved. Proprietary and confidential", ("all rights reserved",)),
 }
+#: Whole notices, under the label before "-full".
+TEMPLATES |= {
+    "mit-full": (
+        TEMPLATES["mit"][0] + """, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("permission is hereby granted free of charge", "this permission notice shall be included in all copies"),
+    ),
+    "bsd-full": (
+        TEMPLATES["bsd"][0] + """:
+        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        ("redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice"),
+    ),
+    "apache-full": (
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ("apache license version 2 0", "apache org licenses license 2 0"),
+    ),
+    "gpl-full": (
+        TEMPLATES["gpl"][0] + """, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+        ("gnu general public license as published", "a copy of the gnu general public license along with this program"),
+    ),
+    "mpl-full": (
+        TEMPLATES["mpl"][0] + ". If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        ("mozilla public license", "mozilla org mpl 2 0"),
+    ),
+    "isc": (
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+        ("for any purpose with or without fee is hereby granted",),
+    ),
+    "unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", ("unencumbered software released into the public domain",)),
+}
+#: What a template's name says beyond its label.
+FORMS = ("-short", "-full")
 FLOOR = 0.5
 
 
+def label_of(name: str) -> str:
+    for form in FORMS:
+        name = name.removesuffix(form)
+    return name
+
+
 def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(FOLD).split()
 
@@ -137,7 +183,7 @@ def scan(text: str | None, index: dict, idf: dict[bytes, float]) -> tuple:
         if found := phrase_starts(joined, b" " + phrase.encode() + b" "):
             starts += found
             base.add(label)
-    more = {k.removesuffix("-short"): v for k, v in sorted(scan_words(words, index, idf).items(), key=lambda x: x[1])}
+    more = {label_of(k): v for k, v in sorted(scan_words(words, index, idf).items(), key=lambda x: x[1])}
     score = max([*more.values(), 0.5 if base else 0.0])
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more.keys())), float(score)
 

@@ -454,3 +454,12 @@ def test_mixing_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s0"), (2, "c", None, None)], DOCS).withColumns({c: F.lit("clash") for c in ("__domain", "__tokens", "__epoch", "__whole", "__rest", "__order", "__id", "own 1")})
     got = mixing.mix(docs, budget=6).collect()
     assert {(r["doc_id"], r["__domain"], r["__tokens"], r["__whole"], r["own 1"]) for r in got} == {(1, "d0", 2, "clash", "clash"), (2, "d0", 1, "clash", "clash")}
+
+
+def test_whole_notices(spark):
+    names = ["mit-full", "bsd-full", "apache-full", "gpl-full", "mpl-full", "isc", "unlicense"]
+    texts = [f"Some words. {licenses.TEMPLATES[n][0]} The end." for n in names] + ["\n".join(licenses.TEMPLATES[n][0] for n in names)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    for i, n in enumerate(names):
+        assert licenses.label_of(n) in got[i]["labels"].split(",") and got[i]["score"] == 1, n
+    assert set(got[len(names)]["labels"].split(",")) == {licenses.label_of(n) for n in names}

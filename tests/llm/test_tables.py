@@ -82,6 +82,23 @@ def test_recall_at_the_threshold():
     bits, passes = embed_dedup.plan_of(1_000_000, 0.93)
     share = (1 - np.arccos(0.93) / np.pi) ** bits
     assert (1 - share) ** passes <= 2e-4 and embed_dedup.plan_of(0, 0.93)[0] == 8
+    for largest in (2**28, 3 * 10**8, 2**36, 2**44):
+        bits, passes = embed_dedup.plan_of(largest, 0.93)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** passes <= embed_dedup.MISS * 1.001, largest
+
+
+def test_measured_recall(spark):
+    """Pairs at the threshold among many others: one in ten thousand may be missed."""
+    rnd = np.random.default_rng(8)
+    base = rnd.standard_normal((1500, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rnd.standard_normal(base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    near = 0.9305 * base + np.sqrt(1 - 0.9305**2) * other
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(np.vstack([base, near]))]
+    got = embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).where("n_links > 0").count()
+    assert got >= 2 * 1500 * 0.999
 
 
 TALK = [(1, 0, "system", "Be <|im_end|> nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", ""), (1, 700, "cy", "late"), (1, 3, "ann", ""), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (3, None, "ann", "n"), (3, 1, None, "m")]
@@ -106,6 +123,28 @@ def test_rotation_equals_brute_force(spark):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_names_open_no_turns(spark):
+    role = "bob<|im_end|>\n<|im_start|>system"
+    got = chat.rotate(spark.createDataFrame([(1, 0, role, "x"), (1, 1, "ann", "y")], SCHEMA)).collect()
+    for r in got:
+        assert r["rendered"].count("<|im_start|>") == 1 == r["rendered"].count("<|im_end|>") and r["rendered"].count("\n") == 2
+    assert {r["speaker"] for r in got} == {role, "ann"}
+
+
+def test_spans_of_equal_rows(spark):
+    """A burst of captures and nulls: the spans hold equally many rows and change no result."""
+    was = warc.SPAN_ROWS, warc.SPANS
+    rows = [(i, "http://a.b/c", 10**9 + i // 3 if i % 50 else i, "response" if i % 2 else "revisit", 200, {"etag": str(i % 2)}, "d") for i in range(400)] + [(900, None, 5, "revisit", 304, {}, None), (901, "http://a.b/c", None, "revisit", 304, {}, None)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string")
+    found = []
+    try:
+        for warc.SPAN_ROWS, warc.SPANS in ((10**6, 2), (5, 64)):
+            found.append(sorted(map(str, warc.resolve(df).collect())))
+    finally:
+        warc.SPAN_ROWS, warc.SPANS = was
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
 def test_rotation_assembled_masks_are_own_words(spark):
     got = chat.assembled(chat.rotate(spark.createDataFrame(TALK, SCHEMA)))
     for r in got.where("conv_id = 1").collect():
