@@ -76,17 +76,16 @@ def overlap_counts(reads: DataFrame, areas: DataFrame, keys: list[str], weight:
 def mean_depth(steps: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
     """``areas`` with the mean of a step function over each, 0 where there is none.
 
-    The difference of the areas up to an interval's ends, which the run that holds each
-    end tells; no pair is formed.
+    The difference of the areas up to an interval's ends: at x it is x times the count
+    there, less the sum of all changes before it times their positions. No pair is formed.
     """
-    runs = steps.where("count != 0").select(*keys, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).alias("end"), "count", (F.col("length") * F.col("count")).alias("__a"))
-    areas_of = running_sum(runs, keys, ["start"], {"__upto": "__a"})
-    marks = areas_of.select(*keys, F.col("start").alias("__pos"), F.lit(0).alias("__tie"), F.struct("start", "end", "count", (F.col("__upto") - F.col("__a")).alias("before")).alias("__run"))
+    sides = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.col("count").alias("d")), F.struct((F.col("start") + F.col("length")).cast("long").alias("pos"), (-F.col("count")).alias("d"))))
+    marks = steps.where("count != 0").select(*keys, sides.alias("x")).groupBy(*keys, F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).withColumn("dp", F.col("d") * F.col("pos"))
     ends = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("end").cast("long").alias("pos"), F.lit(1).alias("sign"))))
-    asked = areas.select(*keys, F.struct(*areas.columns).alias("__row"), ends.alias("x")).select(*keys, F.col("x.pos").alias("__pos"), F.lit(1).alias("__tie"), "__row", F.col("x.sign").alias("__sign"))
-    found = latest(marks.unionByName(asked, allowMissingColumns=True), keys, ["__pos", "__tie"], F.col("__run"), "__at").where("__tie = 1")
-    upto = F.col("__at.before") + F.col("__at.count") * (F.least("__pos", "__at.end") - F.col("__at.start"))
-    got = found.groupBy("__row").agg(F.sum(F.col("__sign") * F.coalesce(upto, F.lit(0))).alias("area"), (F.count("*") / 2).cast("int").alias("rows"))
+    asked = areas.select(*keys, F.struct(*areas.columns).alias("__row"), ends.alias("x")).select(*keys, F.col("x.pos").alias("pos"), "__row", F.col("x.sign").alias("__sign"))
+    found = running_sum(marks.unionByName(asked, allowMissingColumns=True), keys, ["pos"], {"__c": "d", "__p": "dp"}).where("__row IS NOT NULL")
+    upto = F.col("pos") * F.col("__c") - F.col("__p")
+    got = found.groupBy("__row").agg(F.sum(F.col("__sign") * upto).alias("area"), (F.count("*") / 2).cast("int").alias("rows"))
     # equal areas meet in one group: each counts for itself
     each = got.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return each.select("__row.*", (F.col("area") / F.col("rows") / (F.col("__row.end") - F.col("__row.start"))).alias("mean_depth"))

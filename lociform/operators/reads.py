@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from lociform.operators.sweep import running_sum
 BLOCK = 1 << 16
 #: As many different seeds are sent to all tasks.
 SEEDS = 1 << 20
+#: Characters that one histogram of qualities is made of.
+PART = 1 << 20
 
 
 def tally(reads: DataFrame, seq: str) -> DataFrame:
@@ -27,8 +33,25 @@ def composition(reads: DataFrame, seq: str, words: list[str]) -> DataFrame:
 
 def quality_by_position(reads: DataFrame, quality: str, encoding: str = "sanger") -> DataFrame:
     """Mean and exact quartiles of the scores at each read position."""
-    each = reads.select(F.posexplode(sq.phred(F.col(quality), encoding)).alias("position", "score"))
-    hist = each.groupBy("position", "score").agg(F.count("*").alias("n"))
+    offset, least = sq.ENCODINGS[encoding]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part: list[np.ndarray] = []
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                if text:
+                    part.append(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"))
+                if part and (sum(map(len, part)) > PART or i == batch.num_rows - 1):
+                    sizes = np.array([len(x) for x in part])
+                    code = np.concatenate(part).astype(np.int64)
+                    at = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    key, n = np.unique(at << 22 | np.maximum(code - offset, least) + 64, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((key >> 22).astype(np.int32)), pa.array(((key & (1 << 22) - 1) - 64).astype(np.int32)), pa.array(n)], names=["position", "score", "n"])
+                    part = []
+
+    # a histogram for each part of a batch, so that no character is a row of its own
+    each = reads.select(F.col(quality).cast("string").alias("q")).mapInArrow(counted, "position int, score int, n bigint")
+    hist = each.groupBy("position", "score").agg(F.sum("n").alias("n"))
     w = W.partitionBy("position")
     ranked = hist.withColumn("upto", F.sum("n").over(w.orderBy("score").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("all") * p, F.col("score"))).alias(f"q{p}")

@@ -25,10 +25,14 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     record by that and joined again with the piece behind it.
     """
     raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    w = W.partitionBy("file").orderBy("block", "i")
-    rest = F.concat(F.lit("@"), F.coalesce(F.lead("v").over(w), F.lit("")))
+    # the piece behind is in the same split, or the first one of the next split that has one
+    firsts = raw.groupBy("file", "block").agg(F.min_by("v", "i").alias("first"))
+    follow = firsts.select("file", "block", F.lead("first").over(W.partitionBy("file").orderBy("block")).alias("follow"))
+    inside = F.lead("v").over(W.partitionBy("file", "block").orderBy("i"))
+    pieces = raw.withColumn("next", inside).join(follow, ["file", "block"])
+    rest = F.concat(F.lit("@"), F.coalesce("next", "follow", F.lit("")))
     lines = F.filter(F.split("v", "\n"), lambda x: x != "")
-    each = raw.select(lines.alias("r"), rest.alias("rest")).where(F.size("r") >= 3)
+    each = pieces.select(lines.alias("r"), rest.alias("rest")).where(F.size("r") >= 3)
     return each.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("header"), F.col("r")[1].alias("seq"), F.coalesce(F.get("r", F.lit(3)), F.regexp_replace("rest", "\n+$", "")).alias("quality"))
 
 
