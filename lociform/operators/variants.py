@@ -221,3 +221,19 @@ def indel_alleles(df: DataFrame, source: str, targets: str) -> DataFrame:
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{kinds}, ref string, alts array<string>")
+
+
+def with_links(aligned: DataFrame) -> DataFrame:
+    """Alignment rows with splice_forward, splice_backward and pair_link, each (target, position, fragment_index) or null.
+
+    The next and the previous segment of the same record, and the first segment of the
+    mate, told by the flag of the second in pair.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("qname", "pair_flags").orderBy("fragment_index")
+    here = F.struct("target", "position", "fragment_index")
+    second = F.col("pair_flags").bitwiseAND(128) != 0
+    own = aligned.withColumns({"splice_forward": F.lead(here).over(w), "splice_backward": F.lag(here).over(w), "__second": second})
+    mates = aligned.groupBy(F.col("qname").alias("__q"), (~second).alias("__other")).agg(F.min_by(here, F.struct("fragment_index", "target", "position")).alias("pair_link"))
+    return own.join(mates, (F.col("qname") == F.col("__q")) & (F.col("__second") == F.col("__other")), "left").drop("__q", "__other", "__second")

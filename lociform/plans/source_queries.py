@@ -462,3 +462,33 @@ def segment_information(t):
     of(t.sites.select("pos", F.col("target").alias("sample")), 600).write.parquet(path)
     own = t.spark.read.parquet(path)
     return own.select("start", "end", F.size("sites").cast("long").alias("sites"), F.aggregate("sites", F.lit(0).cast("long"), lambda n, s: n + s["bases"]).alias("bases"))
+
+
+@query(f"""WITH {SAM} SELECT qname, CAST(0 AS INT) AS fragment, CASE WHEN k % 4 = 3 THEN CAST(pos - 1 + 120 AS BIGINT) END AS forward, CAST(NULL AS BIGINT) AS backward FROM sam WHERE xr <> 'A'
+  UNION ALL SELECT qname, 1, NULL, CAST(pos - 1 AS BIGINT) FROM sam WHERE xr <> 'A' AND k % 4 = 3""")
+def splice_links(t):
+    """Links between the segments of spliced records."""
+    own = va.with_links(va.alignments(sam(t, kinds_of(KINDS), kinds_of(MDS))))
+    return own.select("qname", F.col("fragment_index").alias("fragment"), F.col("splice_forward.position").alias("forward"), F.col("splice_backward.position").alias("backward"))
+
+
+@query(f"""WITH {SAM}, both_ AS (SELECT l_orderkey AS q, l_linenumber % 2 = 0 AS second, min(l_partkey * 7) AS position FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)
+  SELECT qname, m.position AS mate FROM (SELECT CAST(l_orderkey AS VARCHAR) AS qname, l_orderkey AS q, l_linenumber % 2 = 0 AS second FROM lineitem WHERE l_returnflag <> 'A') r LEFT JOIN both_ m ON m.q = r.q AND m.second <> r.second""")
+def mate_links(t):
+    """The place of each record's mate (X17): records of an order are mates, the first by place counts."""
+    own = sam(t).withColumn("qname", F.split("qname", "_")[0])
+    placed = va.with_links(va.alignments(own).withColumn("target", F.lit("c")))
+    return placed.select("qname", F.col("pair_link.position").alias("mate"))
+
+
+@query(f"WITH {READS}, g AS (SELECT doc_id, seq, length(seq) AS n, length(seq) // 2 AS m FROM reads WHERE length(seq) >= 8), s AS (SELECT doc_id, len(list_filter(range(m, n - 3), lambda i: substr(seq, i + 1, 1) <> substr(seq, i + 4, 1))) AS gain FROM g) SELECT doc_id, CAST(gain AS DOUBLE) AS score, CASE WHEN gain > 0 THEN gain END AS gain FROM s")
+def local_realignment(t):
+    """Each sequence without three bases in its middle is realigned over the known deletion."""
+    from lociform.operators import reads as rd
+
+    g = reads(t).where("length(seq) >= 8").withColumn("target", F.col("doc_id").cast("string")).withColumn("at", F.floor(F.length("seq") / 2).cast("long"))
+    cut = F.concat(F.substring("seq", 1, F.col("at").cast("int")), F.col("seq").substr((F.col("at") + 4).cast("int"), F.length("seq")))
+    own = g.select("doc_id", "target", F.lit(0).cast("long").alias("start"), (F.length("seq") - 3).cast("long").alias("end"), cut.alias("seq"), F.lit(0.0).alias("score"))
+    indels = g.select("target", "at", F.lit(3).cast("long").alias("length"), F.lit(True).alias("deletion"))
+    blocks_ = rd.genome_blocks(g.select("target", "seq"), "target", "seq", 4096)
+    return va.realigned(own, indels, blocks_, 4096).select("doc_id", "score", "gain")

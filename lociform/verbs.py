@@ -319,6 +319,24 @@ def compact_to_sam(spark, input: str) -> DataFrame:
     return ex.sam_records(spark.read.parquet(input))
 
 
+@verb("alignment-links")
+def alignment_links(spark, input: str) -> DataFrame:
+    """SAM text as alignment rows with links to neighbours and mates."""
+    return va.with_links(va.alignments(text.read_sam(spark, input)))
+
+
+@verb("targets")
+def targets(spark, input: str) -> DataFrame:
+    """The references of a data set with their rows and last position."""
+    return spark.read.parquet(input).groupBy("target").agg(F.count("*").alias("n"), F.max("end").alias("last"))
+
+
+@verb("version")
+def version(spark) -> DataFrame:
+    """This package's and Spark's version."""
+    return spark.createDataFrame([("lociform", "0.2"), ("spark", spark.version)], "name string, version string")
+
+
 @verb("read")
 def read(spark, input: str, kind: str = "") -> DataFrame:
     """A data set of any registered format."""
