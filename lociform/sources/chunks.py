@@ -49,10 +49,12 @@ def chunks(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tupl
     at = max(start, 0)
     while at < min(end, len(data)):
         mark = data.find(DELIMITER, at + 1)
-        if mark < 0 or mark - 1 >= end:
+        if mark < 0:
             return
         # eight equal bytes are codec and delimiter
         mark += data[mark : mark + 8] == b"\xff" * 8
+        if mark - 1 >= end:
+            return
         code, at = data[mark - 1], mark - 1
         if at < start or code not in CODECS or mark + 11 > len(data):
             at = mark
