@@ -1,7 +1,7 @@
 """Near-duplicate documents by SetSketch registers, banding and exact verification.
 
 Equal shingle sets become one node first. Bands of registers deal the nodes into
-buckets; each node is compared with its bucket's smallest node (a star, not all
+buckets; each node is compared with its bucket's node of the smallest id (a star, not all
 pairs), and links are confirmed on full shingle sets. What a star can miss, two
 linked nodes of one bucket that are in different components yet, is then looked for
 exactly: nodes outside the component of their bucket's first node are compared by register
@@ -27,6 +27,8 @@ SKETCH = SetSketch(BANDS * ROWS)
 #: Estimates this far below the threshold are not verified: five standard errors of 160 registers.
 MARGIN = 0.15
 BLOCK = 256
+#: Shingles of all sets of a block on average at most: 4 MB.
+SHINGLES = 1 << 19
 #: Members of a component that are compared with an outsider pair by pair; more are taken in blocks.
 FEW = 4
 #: Parts that the members of a pivot are dealt over.
@@ -49,8 +51,8 @@ def _bucket(band: int):
 
 
 def _in_bands(nodes: DataFrame) -> DataFrame:
-    """(node, band, bucket) for each band of each node."""
-    return nodes.select("node", F.posexplode(F.array(*(_bucket(i) for i in range(BANDS)))).alias("band", "bucket"))
+    """(node, least, band, bucket) for each band of each node."""
+    return nodes.select("node", "least", F.posexplode(F.array(*(_bucket(i) for i in range(BANDS)))).alias("band", "bucket"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,11 +148,11 @@ def _against(percent: int):
 def _rest(members: DataFrame, comps: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the components that the stars left, from all pairs of a bucket
     that lie in different ones."""
-    of = info.select("node").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
+    of = info.select("node", "n").join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "n", F.coalesce("component_id", "node").alias("comp"))
     # a pivot may have very many members: they are dealt over parts of it
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
     pivots = of.join(members.select(F.col("pivot").alias("node")).distinct(), "node").select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    placed = members.join(of, "node").withColumn("salt", salt).join(pivots, ["pivot", "salt"])
+    placed = members.join(of.drop("n"), "node").withColumn("salt", salt).join(pivots, ["pivot", "salt"])
     blocks = F.ceil(F.col("members") / BLOCK)
     placed = checkpointed(placed.select("bucket", "band", "node", "comp", (F.col("comp") != F.col("pivot_comp")).alias("outside"), F.pmod(F.xxhash64("node"), blocks).alias("block"), blocks.alias("blocks")))
     outside = placed.where("outside")
@@ -161,8 +163,10 @@ def _rest(members: DataFrame, comps: DataFrame, info: DataFrame, sets: DataFrame
     left = checkpointed(left.distinct())
     pairs = left.where("b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     asked = left.where("b IS NULL").select(F.col("a").alias("node"), "comp").distinct()
-    width = asked.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("is"))
-    size = of.join(width, "comp").groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("js"), F.first("is").alias("is"))
+    # blocks are bounded in sets and in shingles
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES))
+    width = asked.join(info.select("node", "n"), "node").groupBy("comp").agg(parts.alias("is"))
+    size = of.join(width, "comp").groupBy("comp").agg(parts.alias("js"), F.first("is").alias("is"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     xs = asked.join(size, "comp").select("comp", "node", F.lit(True).alias("outsider"), part("is").alias("i"), all_of("js").alias("j"))
@@ -188,8 +192,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = words.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     nodes = checkpointed(keys.withColumn("node", F.monotonically_increasing_id()))
     banded = _in_bands(nodes)
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    members = checkpointed(banded.join(shared, "bucket"))
+    # the pivot is the text of the smallest id: copies come later and resemble it more than each other
+    first = F.min(F.struct("least", "node"))["node"]
+    shared = banded.groupBy("bucket").agg(first.alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    members = checkpointed(banded.drop("least").join(shared, "bucket"))
     stars = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     info = checkpointed(nodes.join(members.select("node").distinct(), "node").select("node", "n", "registers", "least", "key"))
     sets = checkpointed(_sets_of(docs, info.select("node", F.col("least").alias("doc_id"), "key"), width))
