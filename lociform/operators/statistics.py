@@ -145,24 +145,30 @@ P_BINS = 1024
 def benjamini_hochberg(df: DataFrame, p: str, key: str, ignored: int = 0) -> DataFrame:
     """``df`` with ``q`` (T13, W20): p * n / rank, running least from the largest p down, at most 1.
 
-    NaN p get 1 and rank last, so n counts them, with ``ignored`` rows left out before. Ties
-    of p are ordered by ``key``. Ranks are counts of the bins of p below plus a rank inside,
-    and the running least is taken over bins and inside, so no task orders all rows.
+    NaN and null p get 1 and rank last, so n counts them, with ``ignored`` rows left out
+    before. Equal p have the q of the last of them, whatever ``key`` says, so the work is on
+    distinct values: counts of the bins below and sums inside give ranks, and the running
+    least is taken over bins and inside. No task orders all values, and p of 1, NaN and
+    null, of which there may be very many, meet no join.
     """
-    bin_of = F.when(F.isnan(p) | F.col(p).isNull(), P_BINS).otherwise(F.least(F.floor(F.sqrt(F.col(p)) * P_BINS), F.lit(P_BINS - 1)))
-    own = df.withColumn("__bin", bin_of.cast("int"))
-    sizes = own.groupBy("__bin").agg(F.count("*").alias("__n"))
+    live = F.coalesce(~F.isnan(p) & (F.col(p) < 1), F.lit(False))
+    value = F.col(p).cast("double")
+    every = df.agg((F.count("*") + ignored).alias("__all"))  # one row
+    own = df.where(live).groupBy(value.alias("__p")).agg(F.count("*").alias("__n"))
+    own = own.withColumn("__bin", F.least(F.floor(F.sqrt("__p") * P_BINS), F.lit(P_BINS - 1)).cast("int"))
+    sizes = own.groupBy("__bin").agg(F.sum("__n").alias("__s"))
     w = W.partitionBy(F.lit(0)).orderBy("__bin")  # one row for each bin
-    sizes = sizes.select("__bin", F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), (F.sum("__n").over(W.partitionBy(F.lit(0))) + ignored).alias("__all"))
-    inside = W.partitionBy("__bin").orderBy(p, key)
-    ranked = own.withColumn("__r", F.row_number().over(inside)).join(sizes, "__bin")
-    raw = F.when(F.col("__bin") == P_BINS, 1.0).otherwise(F.least(F.lit(1.0), F.col(p) * F.col("__all") / (F.col("__before") + F.col("__r"))))
-    ranked = ranked.withColumn("__q", raw)
-    down = W.partitionBy("__bin").orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(W.unboundedPreceding, 0)
+    sizes = sizes.select("__bin", F.coalesce(F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum("__n").over(W.partitionBy("__bin").orderBy("__p").rowsBetween(W.unboundedPreceding, 0))
+    ranked = own.withColumn("__r", inside).join(sizes, "__bin").join(F.broadcast(every), F.lit(True))
+    ranked = ranked.withColumn("__q", F.least(F.lit(1.0), F.col("__p") * F.col("__all") / (F.col("__before") + F.col("__r"))))
     least = ranked.groupBy("__bin").agg(F.min("__q").alias("__m"))
     above = W.partitionBy(F.lit(0)).orderBy(F.col("__bin").desc()).rowsBetween(W.unboundedPreceding, -1)
     least = least.select("__bin", F.coalesce(F.min("__m").over(above), F.lit(1.0)).alias("__above"))
-    return ranked.withColumn("__q", F.min("__q").over(down)).join(least, "__bin").select(*df.columns, F.least("__q", "__above").alias("q"))
+    down = W.partitionBy("__bin").orderBy(F.col("__p").desc()).rowsBetween(W.unboundedPreceding, 0)
+    values = ranked.withColumn("__q", F.min("__q").over(down)).join(least, "__bin").select("__p", F.least("__q", "__above").alias("q"))
+    found = df.where(live).join(values, value == F.col("__p")).select(*df.columns, "q")
+    return found.unionByName(df.where(~live).select("*", F.lit(1.0).alias("q")))
 
 
 def fdr(parts: list[DataFrame], ps: list[str], key: str, prefilter: float, keep: float, top: int | None = None) -> DataFrame:
@@ -174,7 +180,7 @@ def fdr(parts: list[DataFrame], ps: list[str], key: str, prefilter: float, keep:
     for p in ps:
         some = some | F.coalesce(F.col(p) < prefilter, F.lit(False))
     near = every.where(some) if ps else every
-    ignored = every.count() - near.count() if ps else 0
+    ignored = (every.agg(F.sum((~some).cast("long"))).first()[0] or 0) if ps else 0
     got = benjamini_hochberg(near, ps[0], key, ignored).where(F.col("q") <= keep)
     return got if top is None else got.orderBy("q", ps[0], key).limit(top)
 
@@ -226,17 +232,18 @@ def bin_midpoint(x: Column, width: int = 100) -> Column:
 def empirical(null: DataFrame, observed: DataFrame, scale: int = 100, strict: bool = True) -> DataFrame:
     """observed (key.., bin, s) with ``p`` = (r + 1) / (n + 1), r the null statistics of the bin above s (T18; Q17: strict by default).
 
-    Statistics become whole numbers of 1/scale; the null is one row for each bin and value,
-    and r is a sum over larger values, looked up by a window over both.
+    Statistics become whole numbers of 1/scale. Sums are over the distinct values of a bin,
+    and each observed row looks its own up.
     """
     k = F.floor(F.col("s") * scale).cast("long")
     hist = null.groupBy("bin", k.alias("k")).agg(F.count("*").alias("n"))
-    # of equal values the questions come first if only larger ones count, else last
-    asked = observed.select("bin", k.alias("k"), F.lit(0 if strict else 2).alias("tie"), F.lit(0).cast("long").alias("n"), F.struct(*observed.columns).alias("row"))
-    marks = hist.select("bin", "k", F.lit(1).alias("tie"), "n")
-    w = W.partitionBy("bin").orderBy(F.col("k").desc(), "tie").rowsBetween(W.unboundedPreceding, 0)
-    swept = asked.unionByName(marks, allowMissingColumns=True).withColumn("r", F.sum("n").over(w)).withColumn("all", F.sum("n").over(W.partitionBy("bin"))).where("row IS NOT NULL")
-    return swept.select("row.*", ((F.col("r") + 1) / (F.col("all") + 1)).alias("p"))
+    asked = observed.select("bin", k.alias("k")).distinct().withColumn("n", F.lit(0).cast("long"))
+    values = hist.unionByName(asked).groupBy("bin", "k").agg(F.sum("n").alias("n"))
+    down = W.partitionBy("bin").orderBy(F.col("k").desc())
+    above = F.coalesce(F.sum("n").over(down.rowsBetween(W.unboundedPreceding, -1 if strict else 0)), F.lit(0))
+    p = (above + 1) / (F.sum("n").over(W.partitionBy("bin")) + 1)
+    table = values.select(F.col("bin").alias("__bin"), F.col("k").alias("__k"), p.alias("p"))
+    return observed.join(table, F.col("bin").eqNullSafe(F.col("__bin")) & k.eqNullSafe(F.col("__k"))).select(*observed.columns, "p")
 
 
 def empirical_fdr(null_above: Column, test_above: Column) -> Column:
