@@ -12,7 +12,7 @@ from lociform.operators import lookups as lo
 from lociform.operators import sets as st
 from lociform.operators import statistics as stat
 from lociform.operators import variants as va
-from lociform.plans.bindings import ALN, OBS, SITES, Tables, runs_of
+from lociform.plans.bindings import ALN, OBS, SITES, Tables, days, runs_of
 from lociform.plans.interval_queries import KEYS, sample_runs
 from lociform.plans.registry import query
 from lociform.plans.sequence_queries import READS, reads
@@ -20,12 +20,12 @@ from lociform.scratch import fresh
 from lociform.sources import archive, blocks, chunks, registry, text
 
 # a name and a line of bases for each row of lineitem: 32 letters from a digest of the name
-NAME = "l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
+NAME = "l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey || '_' || CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR)"
 BASES = "upper(translate(md5(qname), '0123456789abcdef', 'acgtacgtacgtacgt'))"
 
 
 def qname():
-    return F.concat_ws("_", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    return F.concat_ws("_", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")), days("l_shipdate").cast("string"))
 
 
 def bases():
