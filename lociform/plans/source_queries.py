@@ -413,7 +413,7 @@ def per_target_callback(t):
   SELECT s.target, s.gene, s.segment, s."end" - s.start AS length, coalesce(in_count, 0) AS in_count, coalesce(over_count, 0) AS over_count, round(coalesce(over_count, 0) / ((s."end" - s.start) / 1000.0) / ((SELECT count(*) FROM aln) / 1e6), 4) AS rpkm, round(log2(coalesce(over_count, 0) / ((s."end" - s.start) / 1000.0) / ((SELECT count(*) FROM aln) / 1e6) + 1), 6) AS log2_rpkm FROM s LEFT JOIN o USING (segment)""")
 def annotation_counts(t):
     """Counts of each segment with its length and normalised values."""
-    got = iv.annotation_counts(t.aln.select("target", "start", "end"), t.ann, KEYS, "segment", 64)
+    got = iv.annotation_counts(t.aln.select("target", "start", "end"), t.ann, KEYS)
     return got.select("target", "gene", "segment", "length", "in_count", "over_count", F.round("rpkm", 4).alias("rpkm"), F.round("log2_rpkm", 6).alias("log2_rpkm"))
 
 

@@ -84,9 +84,9 @@ def alignment_to_annotation_counts(spark, input: str, annotations: str) -> DataF
 
 
 @verb("alignment-to-segment-counts")
-def alignment_to_segment_counts(spark, input: str, annotations: str, ident: str = "segment", width: int = 1024) -> DataFrame:
+def alignment_to_segment_counts(spark, input: str, annotations: str) -> DataFrame:
     """Segments with reads inside and over them, lengths and normalised counts."""
-    return iv.annotation_counts(spark.read.parquet(input), spark.read.parquet(annotations), KEY, ident, width)
+    return iv.annotation_counts(spark.read.parquet(input), spark.read.parquet(annotations), KEY)
 
 
 @verb("alignment-to-transcript-counts")
