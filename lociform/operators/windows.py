@@ -16,12 +16,37 @@ def trailing(df: DataFrame, keys: list[str], pos: str, distance: int, values: di
     """Aggregates over the ``distance`` positions up to each row.
 
     Blocks of ``distance`` positions are windowed by themselves; each also holds the rows of the block before.
+    Any aggregate will do, at the cost of all rows in each window; sums and counts go by ``trailing_sums``.
     """
     near = reaching(df, keys, pos, distance)
     w = W.partitionBy(*keys, "__blk").orderBy(pos).rangeBetween(-distance, 0)
     return near.withColumns({n: c.over(w) for n, c in values.items()}).where("__own").drop("__blk", "__own")
 
 
+def trailing_sums(df: DataFrame, keys: list[str], pos: str, distance: int, values: dict[str, Column]) -> DataFrame:
+    """Sums of ``values`` (a column of each row; 1 counts rows) over the ``distance`` positions up to each row.
+
+    A window that moves at both ends is summed anew for each row, at a cost of the rows in it.
+    Here it is the rows of the own block of ``distance`` positions up to the row, and those of the
+    block before that still reach it: two running sums, and no difference of large ones.
+    """
+    blk, at = F.floor(F.col(pos) / F.lit(max(distance, 1))), F.col(pos)
+    names = [f"__v{i}" for i in range(len(values))]
+    row = F.struct(*(F.col(c) for c in df.columns))
+    v = F.struct(*(c.alias(n) for n, c in zip(names, values.values(), strict=True)))
+    sides = F.array(F.struct(blk.alias("b"), at.alias("x"), row.alias("row"), v.alias("v")), F.struct((blk + 1).alias("b"), (at + distance).alias("x"), F.lit(None).cast(df.schema).alias("row"), v.alias("v")))
+    each = df.select(*keys, F.explode(F.when(at.isNull(), F.slice(sides, 1, 1)).otherwise(sides)).alias("__s")).select(*keys, "__s.*")
+    part = W.partitionBy(*keys, "b")
+    upto, from_ = (part.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc("x"), F.desc("x")))
+    own = F.col("row").isNotNull()
+    sums = {}
+    for n in names:
+        inside, before = F.sum(F.when(own, F.col(f"v.{n}"))).over(upto), F.sum(F.when(~own, F.col(f"v.{n}"))).over(from_)
+        sums[n] = F.coalesce(inside + before, inside, before)
+    got = each.select("row", *(c.alias(n) for n, c in sums.items())).where("row IS NOT NULL")
+    return got.select("row.*", *(F.col(n).alias(k) for n, k in zip(names, values, strict=True)))
+
+
 def last_sites(df: DataFrame, keys: list[str], order: list[str], n: int, values: dict[str, Column]) -> DataFrame:
     """Aggregates over the last n rows in a unique order (W13), in blocks of rows that also hold the n - 1 rows before."""
     block = max(n, 1 << 16)

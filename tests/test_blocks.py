@@ -213,3 +213,21 @@ def test_counts_without_pairs(spark):
             assert over[x] == (0 if s is None else sum(q == k and b < e and z > s for q, b, z in full))
     most = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") % 7).alias("start"), (F.col("id") % 7 + 2).alias("end"), "id")
     assert {x["n"] for x in iv.contained_counts(most, most, ["k"]).select("n").distinct().collect()} <= {28571, 28572}
+
+
+def test_trailing_sums(spark):
+    """Equal positions, nulls and values that are no numbers stay in their own windows; a dense axis costs its rows."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), rnd.randrange(-500, 500), rnd.choice([None, 1.5, 2.25, -7.0])) for _ in range(300)]
+    rows += [("a", None, 2.0), ("a", None, 3.0), ("b", -400, math.inf), ("b", 100, -math.inf)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "k string, pos long, v double, id long")
+    for d in (0, 1, 90, 2000):
+        got = {r["id"]: r for r in wi.trailing_sums(df, ["k"], "pos", d, {"n": F.lit(1), "s": F.col("v")}).collect()}
+        assert len(got) == len(rows)
+        for i, (k, p, _) in enumerate(rows):
+            near = [v for q, at, v in rows if q == k and (at is None if p is None else at is not None and p - d <= at <= p)]
+            known = [v for v in near if v is not None]
+            want = math.nan if {math.inf, -math.inf} <= set(known) else sum(known) if known else None
+            assert got[i]["n"] == len(near) and (got[i]["s"] == want or want is not None and math.isnan(want) and math.isnan(got[i]["s"]))
+    dense = wi.trailing_sums(spark.range(300_000).withColumn("k", F.lit(0)), ["k"], "id", 100_000, {"n": F.lit(1)})
+    assert dense.agg(F.sum("n")).first()[0] == sum(min(i, 100_000) + 1 for i in range(300_000))
