@@ -137,7 +137,7 @@ def genomic_context(t):
 
 @query(f"WITH {SITES} SELECT target, id, pos, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM sites WINDOW w AS (PARTITION BY target ORDER BY pos RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
 def sites_in_window(t):
-    got = wi.trailing(t.sites, ["target"], "pos", 3600, {"n": F.count("*"), "total": F.sum("value")})
+    got = wi.trailing_sums(t.sites, ["target"], "pos", 3600, {"n": F.lit(1).cast("long"), "total": F.col("value")})
     return got.select("target", "id", "pos", "n", F.round("total", 4).alias("total"))
 
 
