@@ -143,7 +143,7 @@ def fisher_r_by_c(t):
     own = m.groupBy("element").agg(*(n(g).alias(f"n_{g}") for g in "ANR"))
     both = own.join(F.broadcast(m.agg(*(n(g).alias(f"t_{g}") for g in "ANR"))), F.lit(True))
     cells = F.array(*(F.col(f"n_{g}").cast("int") for g in "ANR"), *((F.col(f"t_{g}") - F.col(f"n_{g}")).cast("int") for g in "ANR"))
-    got = both.select("element", fisher_p_table(cells, F.lit(3)).alias("f"))
+    got = both.repartition(64, "element").select("element", fisher_p_table(cells, F.lit(3)).alias("f"))
     return got.select("element", "f.method", F.round("f.p", 5).alias("p"))
 
 

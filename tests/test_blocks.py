@@ -231,3 +231,17 @@ def test_trailing_sums(spark):
             assert got[i]["n"] == len(near) and (got[i]["s"] == want or want is not None and math.isnan(want) and math.isnan(got[i]["s"]))
     dense = wi.trailing_sums(spark.range(300_000).withColumn("k", F.lit(0)), ["k"], "id", 100_000, {"n": F.lit(1)})
     assert dense.agg(F.sum("n")).first()[0] == sum(min(i, 100_000) + 1 for i in range(300_000))
+
+
+def test_large_tables_are_exact():
+    """No draw at any size: p of large 2 x 3 tables nears that of chi-square, and small ones are as by all fillings."""
+    rnd = random.Random(10)
+    for _ in range(40):
+        t = [[rnd.randrange(7) for _ in range(3)] for _ in range(2)]
+        if all(map(sum, t)) and all(map(sum, zip(*t, strict=True))):
+            assert tails.fisher_table(t) == (pytest.approx(tables_like(t), abs=1e-9), "exact")
+    row, every = [36_400, 71_700, 35_900], [900_000, 1_800_000, 900_000]
+    expected = [sum(row) * x / sum(every) for x in every]
+    chi = sum((a - b) ** 2 / b for a, b in zip(row, expected, strict=True)) / (1 - sum(row) / sum(every))
+    p, method = tails.fisher_table([row, [a - b for a, b in zip(every, row, strict=True)]])
+    assert method == "exact" and p == pytest.approx(math.exp(-chi / 2), abs=5e-4)
