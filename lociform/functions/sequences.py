@@ -169,8 +169,11 @@ def context(next_base: Column) -> Column:
 def repeat_length(seq: Column, unit: Column) -> Column:
     """Times that ``unit`` stands at the start of ``seq`` without gap (C20)."""
     n = F.length(unit)
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.length(seq) / n - 1, F.lit(0)).cast("int")), lambda i: (seq.substr((i * n + 1).cast("int"), n) == unit).cast("int"))
-    return F.when((n > 0) & (F.length(seq) >= n), F.aggregate(whole, F.struct(F.lit(0).alias("k"), F.lit(1).alias("on")), lambda a, x: F.struct((a["k"] + a["on"] * x).alias("k"), (a["on"] * x).alias("on")), lambda a: a["k"])).otherwise(0)
+    most = F.floor(F.length(seq) / n)
+    # halving steps: a sequence that begins with k units begins with fewer of them too
+    steps = F.transform(F.sequence(F.floor(F.log2(most)).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
+    longer = lambda k, x: F.when((k + x <= most) & F.startswith(seq, F.repeat(unit, F.least(k + x, most).cast("int"))), k + x).otherwise(k)
+    return F.when((n > 0) & (F.length(seq) >= n), F.aggregate(steps, F.lit(0), longer)).otherwise(0)
 
 
 def masked_crc(seq: Column, mask: str) -> Column:
@@ -200,6 +203,6 @@ def segment_merge(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def gap_length(a: Column, b: Column) -> Column:
-    """Gap marks of the allele that has more of them (C20)."""
+    """Gap marks of the allele that has more of them (C20), null where one is null."""
     n = lambda c: F.length(c) - F.length(F.replace(c, F.lit("-"), F.lit("")))
-    return F.greatest(n(a), n(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(n(a), n(b)))

@@ -270,7 +270,7 @@ def masked_crc(t):
 def repeat_lengths(t):
     s = F.col("seq")
     gapped = F.replace(s, F.lit("A"), F.lit("-"))
-    return reads(t).select("doc_id", sq.repeat_length(s, F.substring(s, 1, 2)).alias("repeats"), sq.gap_length(gapped, F.lit("")).alias("gaps"))
+    return reads(t).select("doc_id", F.when(F.length(s) >= 2, sq.repeat_length(s, F.substring(s, 1, 2))).otherwise(0).alias("repeats"), sq.gap_length(gapped, F.lit("")).alias("gaps"))
 
 
 @query("SELECT l_orderkey, l_linenumber, s1 <= e2 AND s2 <= e1 AS overlap, greatest(0, s2 - e1, s1 - e2) AS distance, least(s1, s2) AS merged_start, greatest(e1, e2) AS merged_end, e1 - s1 + 1 AS length FROM (SELECT l_orderkey, l_linenumber, l_partkey % 100 AS s1, l_partkey % 100 + l_linenumber AS e1, l_suppkey % 100 AS s2, l_suppkey % 100 + 3 AS e2 FROM lineitem)")

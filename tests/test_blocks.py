@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lociform.functions import sequences as sq
 from lociform.functions import tails
 from lociform.operators import coverage as cov
 from lociform.operators import discovery as di
@@ -245,3 +246,19 @@ def test_large_tables_are_exact():
     chi = sum((a - b) ** 2 / b for a, b in zip(row, expected, strict=True)) / (1 - sum(row) / sum(every))
     p, method = tails.fisher_table([row, [a - b for a, b in zip(every, row, strict=True)]])
     assert method == "exact" and p == pytest.approx(math.exp(-chi / 2), abs=5e-4)
+
+
+def test_repeat_lengths_of_short_and_null_texts(spark, tmp_path):
+    import duckdb
+
+    from lociform.plans.catalog import QUERIES, SQL
+
+    texts = ["", "a", "g", "aa", "aca", "acac", "cacacat", "a" * 7, "ac" * 50_000 + "g", "ac" * 50_000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["repeat_lengths"](spark, str(tmp_path)).select("doc_id", "repeats", "gaps").collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.execute(f"SELECT doc_id, repeats, gaps FROM ({SQL['repeat_lengths']})").fetchall())
+    units = df.select(*(sq.repeat_length(F.lit("CACACAT"), F.lit(u)) for u in ("CA", "C", "CAC", "T", "CACACAT", "CACACATT", "")))
+    assert tuple(units.first()) == (3, 1, 1, 0, 1, 0, 0)
