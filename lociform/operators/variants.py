@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,21 +64,49 @@ def parse_alignment(pos: int, cigar: str, md: str | None, seq: str) -> list[dict
 ROWS = "qname string, fragment_index int, target string, position bigint, reverse boolean, pair_flags int, mapping_quality int, ambiguity int, target_aligned_length int, query_aligned_length int, left_clip string, right_clip string, spliced boolean, variations array<struct<from:string,to:string,position:int,read_index:int>>"
 
 
+#: The columns of ``ROWS`` but the last one, and the fields of that.
+PLAIN = dict(zip("qname fragment_index target position reverse pair_flags mapping_quality ambiguity target_aligned_length query_aligned_length left_clip right_clip spliced".split(), [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.bool_()], strict=True))
+VARIATION = {"from": pa.string(), "to": pa.string(), "position": pa.int32(), "read_index": pa.int32()}
+
+
+class _Cuts:
+    """Stands for a read: what is cut out of it is the place of the cut."""
+
+    def __getitem__(self, at: slice) -> slice:
+        return at
+
+
+@lru_cache(1 << 14)
+def _template(cigar: str, md: str | None) -> list[tuple]:
+    """``parse_alignment`` of any read at position 0, as most records share few pairs of strings."""
+    segs = parse_alignment(1, cigar, md, _Cuts())
+    return [(s["position"], s["target_length"], s["query_length"], s["left_clip"], s["right_clip"], s["variations"]) for s in segs]
+
+
 def alignments(sam: DataFrame) -> DataFrame:
     """Alignment rows of mapped SAM records (S7, S8): one for each segment between introns."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                segs = parse_alignment(r.pos, r.cigar, r.md, r.seq)
-                for i, s in enumerate(segs):
-                    out.append((r.qname, i, r.rname, s["position"], bool(r.flag & 16), r.flag, r.mapq, int(r.nh) if r.nh else 1, s["target_length"], s["query_length"], s["left_clip"], s["right_clip"], len(segs) > 1, [{"from": v[0], "to": v[1], "position": v[2], "read_index": v[3]} for v in s["variations"]]))
-            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in re.split(r", (?=[a-z_]+ )", ROWS)])
+            out: list[tuple] = []
+            seen: list[tuple] = []
+            ends = [0]
+            for qname, flag, rname, pos, mapq, cigar, seq, md, nh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                segs = _template(cigar, md)
+                cut = seq or ""
+                more, ambiguity, spliced = bool(flag & 16), int(nh) if nh else 1, len(segs) > 1
+                for i, (at, target, query, left, right, variations) in enumerate(segs):
+                    out.append((qname, i, rname, None if pos is None else pos - 1 + at, more, flag, mapq, ambiguity, target, query, cut[left] if left else "", cut[right] if right else "", spliced))
+                    seen += [(f, cut[to] if isinstance(to, slice) else to, p, r) for f, to, p, r in variations]
+                    ends.append(len(seen))
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * len(PLAIN), PLAIN.values(), strict=True)]
+            parts = [pa.array(x, t) for x, t in zip(zip(*seen, strict=True) if seen else [()] * len(VARIATION), VARIATION.values(), strict=True)]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=list(VARIATION))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*PLAIN, "variations"])
 
     tag = lambda n: F.element_at("tags", F.lit(n))
     mapped = sam.where("(flag & 4) = 0 AND cigar != '*'").select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", tag("MD").alias("md"), tag("NH").alias("nh"))
-    return mapped.mapInPandas(run, ROWS)
+    return mapped.mapInArrow(run, ROWS)
 
 
 def variation_rows(aligned: DataFrame) -> DataFrame:

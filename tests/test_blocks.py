@@ -262,3 +262,21 @@ def test_repeat_lengths_of_short_and_null_texts(spark, tmp_path):
     assert got == sorted(c.execute(f"SELECT doc_id, repeats, gaps FROM ({SQL['repeat_lengths']})").fetchall())
     units = df.select(*(sq.repeat_length(F.lit("CACACAT"), F.lit(u)) for u in ("CA", "C", "CAC", "T", "CACACAT", "CACACATT", "")))
     assert tuple(units.first()) == (3, 1, 1, 0, 1, 0, 0)
+
+
+def test_alignments_by_templates(spark):
+    """Each record as ``parse_alignment`` reads it, and strings that many records share parsed once."""
+    kinds = [("32M", "9A22"), ("10M2I20M", None), ("12M3D20M", "12^ACG20"), ("4S20M100N5M3S", "25"), ("5X", None), ("2H3M1P2=", "0C4"), ("40M", "32")]
+    rows = [(f"q{i}", [0, 16, 128, 4][i % 4], "c", i, i % 50, *kinds[i % 7], "ACGTTGCA" * (i % 5), "*" if i % 3 else "2") for i in range(140)]
+    sam = spark.createDataFrame(rows, "qname string, flag int, rname string, pos int, mapq int, cigar string, md string, seq string, nh string")
+    sam = sam.withColumn("tags", F.map_from_arrays(F.array(F.lit("MD"), F.lit("NH")), F.array("md", F.when(F.col("nh") != "*", F.col("nh")))))
+    va._template.cache_clear()
+    got = {(r["qname"], r["fragment_index"]): r for r in va.alignments(sam).collect()}
+    want = {(r[0], i): (r, s) for r in rows if not r[1] & 4 for i, s in enumerate(va.parse_alignment(r[3], r[5], r[6], r[7]))}
+    assert got.keys() == want.keys()
+    for key, (r, s) in want.items():
+        g = got[key]
+        assert (g["target"], g["position"], g["reverse"], g["pair_flags"], g["mapping_quality"], g["ambiguity"]) == ("c", s["position"], bool(r[1] & 16), r[1], r[4], 2 if r[8] == "2" else 1)
+        assert (g["target_aligned_length"], g["query_aligned_length"], g["left_clip"], g["right_clip"]) == (s["target_length"], s["query_length"], s["left_clip"], s["right_clip"])
+        assert [tuple(v) for v in g["variations"]] == s["variations"] and g["spliced"] == ("N" in r[5])
+    assert va._template("32M", "32") is va._template("32M", "32")
