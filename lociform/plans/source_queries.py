@@ -246,7 +246,11 @@ def sorted_store(t):
 
     path = fresh(t.spark)
     st.write_sorted(t.aln.select("target", "start", "query"), ["target", "start"], path, 50_000)
-    own = t.spark.read.parquet(path).select("target", "start", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("i"))
+    stored_ = t.spark.read.parquet(path).select("target", "start", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("i"))
+    # a number stands for a file's path in the rows, and a task gets a few files
+    paths = sorted(r["path"] for r in stored_.select("path").distinct().collect())
+    files = t.spark.createDataFrame([(x, i) for i, x in enumerate(paths)], "path string, file int")
+    own = stored_.join(F.broadcast(files), "path").select("target", "start", "i", "file").repartition(len(paths) // 16 + 1, "file")
     key = F.struct("target", "start")
     before = F.lag(key).over(W.partitionBy("file").orderBy("i"))
     return own.withColumn("bad", F.coalesce(key < before, F.lit(False))).groupBy("target").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("inversions"))

@@ -280,3 +280,12 @@ def test_alignments_by_templates(spark):
         assert (g["target_aligned_length"], g["query_aligned_length"], g["left_clip"], g["right_clip"]) == (s["target_length"], s["query_length"], s["left_clip"], s["right_clip"])
         assert [tuple(v) for v in g["variations"]] == s["variations"] and g["spliced"] == ("N" in r[5])
     assert va._template("32M", "32") is va._template("32M", "32")
+
+
+def test_sorted_ranges_hold_few_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "RANGE", 500)
+    df = spark.range(5_000).select((F.col("id") * 7919 % 5_000).alias("k"), F.lit("x").alias("v"))
+    st.write_sorted(df, ["k"], str(tmp_path / "s"))
+    files = spark.read.parquet(str(tmp_path / "s")).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
+    assert len(files) > 5 and max(f["n"] for f in files) < 1_500 and sum(f["n"] for f in files) == 5_000
+    assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:], strict=False))
