@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,10 +148,53 @@ def joined_blocks(parts: DataFrame, target: str, order: str, seq: str, block: in
     return each.select("target", "block", "__at", piece.alias("__piece")).groupBy("target", F.col("block").cast("int").alias("block")).agg(F.array_join(F.transform(sorted_pieces, lambda x: x["__piece"]), "").alias("bases"))
 
 
+def _stretches(genome: DataFrame, size: int) -> DataFrame:
+    """(target, block, bases): blocks with as much of the next one as a word that begins in them can reach."""
+    more = genome.select("target", (F.col("block") - 1).alias("block"), F.substring("bases", 1, size - 1).alias("__two"))
+    return genome.join(more, ["target", "block"], "left").select("target", "block", F.concat("bases", F.coalesce("__two", F.lit(""))).alias("bases"))
+
+
+def _word_counts(stretches: DataFrame, size: int) -> DataFrame:
+    """(word, n): counts of the words of ``bases``, a count for each part of a batch, so that no place is a row of its own."""
+
+    def words_of(texts: list[str]) -> tuple[list[str], list[int]]:
+        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters, at = np.unique(code, return_inverse=True)
+        bits = max(1, (len(letters) - 1).bit_length())
+        if bits * size > 62:
+            n = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+            return list(n), list(n.values())
+        ends = np.cumsum([len(t) for t in texts])
+        whole = np.ones(len(code) - size + 1, bool)
+        for k in range(1, size):
+            cut = ends[:-1] - k  # a word from here would run into the next text
+            whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+        packed = np.zeros(len(whole), np.int64)
+        for k in range(size):
+            packed = packed << bits | at[k : k + len(whole)]
+        found, n = np.unique(packed[whole], return_counts=True)
+        shifts = np.arange(size - 1, -1, -1) * bits
+        text = letters[found[:, None] >> shifts & (1 << bits) - 1].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[i : i + size] for i in range(0, len(text), size)], n.tolist()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, held = [], 0
+            for i, text in enumerate(batch.column(0).to_pylist()):
+                if text and len(text) >= size:
+                    part.append(text)
+                    held += len(text)
+                if part and (held > PART or i == batch.num_rows - 1):
+                    words, n = words_of(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+                    part, held = [], 0
+
+    return stretches.select("bases").mapInArrow(counted, "word string, n bigint")
+
+
 def _block_words(genome: DataFrame, size: int) -> DataFrame:
     """(target, block, offset, word) of all words of a genome's blocks, those over block ends too."""
-    more = genome.select("target", (F.col("block") - 1).alias("block"), F.substring("bases", 1, size - 1).alias("__two"))
-    both = genome.join(more, ["target", "block"], "left").select("target", "block", F.concat("bases", F.coalesce("__two", F.lit(""))).alias("bases"))
+    both = _stretches(genome, size)
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.length("bases") - size + 1, F.lit(1))))
     return both.select("target", "block", at.alias("offset"), "bases").select("target", "block", "offset", F.col("bases").substr(F.col("offset"), F.lit(size)).alias("word")).where(F.length("word") == size)
 
@@ -160,7 +204,7 @@ def seed_counts(reads: DataFrame, genome: DataFrame, seq: str, size: int) -> Dat
     own = reads.withColumn("word", F.substring(seq, 1, size))
     seeds = own.where(F.length("word") == size).select("word").distinct()
     seeds = F.broadcast(seeds) if seeds.limit(SEEDS + 1).count() <= SEEDS else seeds
-    n = _block_words(genome, size).join(seeds, "word", "left_semi").groupBy("word").agg(F.count("*").alias("hits"))
+    n = _word_counts(_stretches(genome, size), size).join(seeds, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("hits"))
     return own.join(n, "word").drop("word")
 
 

@@ -289,3 +289,22 @@ def test_sorted_ranges_hold_few_rows(spark, tmp_path, monkeypatch):
     files = spark.read.parquet(str(tmp_path / "s")).groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
     assert len(files) > 5 and max(f["n"] for f in files) < 1_500 and sum(f["n"] for f in files) == 5_000
     assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:], strict=False))
+
+
+def test_word_counts(spark):
+    """No word runs from one text into the next; any alphabet, and few rows for many places."""
+    from collections import Counter
+
+    from lociform.operators import reads as rd
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(60))) for _ in range(200)] + ["", "ACG", None, "A" * 5_000]
+    odd = [t and t + "".join(chr(rnd.randrange(200, 70_000) % 50_000 + 200) for _ in range(30)) for t in texts]
+    for own in (texts, odd):
+        for size in (1, 4, 12):
+            got = rd._word_counts(spark.createDataFrame([(t,) for t in own], "bases string").coalesce(1), size).collect()
+            n = Counter()
+            for r in got:
+                n[r["word"]] += r["n"]
+            assert n == Counter(t[i : i + size] for t in own if t for i in range(len(t) - size + 1))
+            assert len(got) == len(n) or own is odd
