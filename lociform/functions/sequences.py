@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,6 +13,22 @@ from pyspark.sql.types import StringType
 ENCODINGS = {"sanger": (33, 0), "illumina": (64, 0), "solexa": (64, -5), "phred": (0, 0)}
 
 
+_LETTERS, _STAND_FOR = b"acgtbdefhijklmnopqrsuvwxyz", b"ACGTACGTACGTACGTACGTACGTAC"
+#: The base that a letter of either case stands for, by its byte, and the bytes that stand for none.
+LETTER_BASES = bytes.maketrans(_LETTERS + _LETTERS.upper(), _STAND_FOR * 2)
+NO_LETTERS = bytes(set(range(256)) - set(_LETTERS + _LETTERS.upper()))
+
+
+@F.arrow_udf(StringType())
+def letters_as_bases(text: pa.Array) -> pa.Array:
+    """The letters of texts as bases, in one pass over their bytes; all else is left out.
+
+    Of other characters only U+0130 and U+212A are letters in lower case, i and k.
+    """
+    own = (None if x is None else x.replace(b"\xc4\xb0", b"i").replace(b"\xe2\x84\xaa", b"k").translate(LETTER_BASES, NO_LETTERS) for x in text.cast(pa.binary()).to_pylist())
+    return pa.array(own, pa.binary()).cast(pa.string())
+
+
 def complement(seq: Column) -> Column:
     return F.translate(seq, "ACGTacgt", "TGCAtgca")
 

@@ -120,10 +120,15 @@ def extremes(df: DataFrame, columns: list[str]) -> DataFrame:
     return got.select(F.explode(F.array(*(F.struct(F.lit(c).alias("property"), F.col(f"min_{c}").cast("double").alias("least"), F.col(f"max_{c}").cast("double").alias("most")) for c in columns))).alias("x")).select("x.*")
 
 
+def _cut(seq: Column, block: int) -> Column:
+    """A text as an array of pieces of ``block`` characters, in one pass over it."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+
 def genome_blocks(sequences: DataFrame, name: str, seq: str, block: int = BLOCK) -> DataFrame:
     """(target, block, bases): sequences cut to blocks for joins (S15, 1.1-9)."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length(seq) - 1) / block), F.lit(0)).cast("int")))
-    return sequences.select(F.col(name).alias("target"), at.alias("block"), F.col(seq).alias("__s")).select("target", "block", F.col("__s").substr((F.col("block") * block + 1).cast("int"), F.lit(block)).alias("bases"))
+    own = sequences.select(F.col(name).alias("target"), (F.col(seq) == "").alias("__none"), F.posexplode_outer(_cut(F.col(seq), block)).alias("__b", "__s"))
+    return own.select("target", F.coalesce("__b", F.lit(0)).alias("block"), F.when(F.col("__none"), "").otherwise(F.col("__s")).alias("bases"))
 
 
 def genome_get(points: DataFrame, blocks: DataFrame, target: str, pos: str, length: int = 1, block: int = BLOCK) -> DataFrame:

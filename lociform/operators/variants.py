@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,21 +190,22 @@ def merge_from(alleles: list[tuple[str, str]]) -> tuple[str, list[str]]:
     return longest, [t + longest[len(f) :] if longest.startswith(f) else t for f, t in plain]
 
 
-def realign_score(read: str, genome: str, start: int, at: int, length: int, deletion: bool) -> int:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def realign_score(read: str | np.ndarray, genome: str | np.ndarray, start: int, at: int, length: int, deletion: bool) -> int:
     """Matches gained by shifting a read's tail over an indel at ``at`` (W18): +1 for a mismatch explained, -1 for a new one, -20 outside."""
-    score = 0
-    for i, base in enumerate(read):
-        here = start + i
-        if here < at:
-            continue
-        moved = here + length if deletion else here - length
-        if not deletion and here < at + length:
-            continue
-        if moved < 0 or moved >= len(genome) or here >= len(genome):
-            return score - 20
-        before, after = genome[here] == base, genome[moved] == base
-        score += int(after and not before) - int(before and not after)
-    return score
+    read, genome = (_codes(x) if isinstance(x, str) else x for x in (read, genome))
+    shift = length if deletion else -length
+    first = max(0, (at if deletion else max(at, at + length)) - start)
+    if first >= len(read):
+        return 0
+    end = min(len(read), len(genome) - start - max(shift, 0))
+    if start + first + min(shift, 0) < 0 or end <= first:
+        return -20
+    before, after = (np.count_nonzero(read[first:end] == genome[start + s + first : start + s + end]) for s in (0, shift))
+    return int(after) - int(before) - (20 if end < len(read) else 0)
 
 
 def realigned(reads: DataFrame, indels: DataFrame, genome: DataFrame, size: int, reach: int = 100) -> DataFrame:
@@ -211,33 +213,45 @@ def realigned(reads: DataFrame, indels: DataFrame, genome: DataFrame, size: int,
 
     ``genome``: blocks (target, block, bases) of ``size`` bases. A range join brings each read
     its candidate indels, and a join by block the stretch of the reference around it, so no
-    task holds a whole sequence. Reads with nulls and repeated reads are kept as they are;
-    a read without a gain has a null shift.
+    task holds a whole sequence. Bases travel once for each read, not for each of its blocks
+    or candidates. Reads with nulls and repeated reads are kept as they are; a read without
+    a gain has a null shift.
     """
     from lociform.operators.intervals import overlap_join
 
     own = stored(reads.withColumn("__id", F.monotonically_increasing_id()))
-    near = indels.select("target", (F.col("at") - 1).alias("start"), (F.col("at") + 1).alias("end"), "at", "length", "deletion")
-    asked = own.where("seq IS NOT NULL AND start IS NOT NULL").select("__id", "target", "start", "end", "seq")
+    near = indels.where("length IS NOT NULL").select("target", (F.col("at") - 1).alias("start"), (F.col("at") + 1).alias("end"), "at", "length", "deletion")
+    asked = own.where("seq IS NOT NULL AND start IS NOT NULL").select("__id", "target", "start", "end", F.length("seq").alias("__n"))
     pairs = overlap_join(asked, near, ["target"], reach).select("l.*", "r.at", "r.length", "r.deletion")
-    low = F.greatest(F.col("start") - F.col("length"), F.lit(0))
-    high = F.col("start") + F.length("seq") + F.col("length")
+    one = lambda c: F.first(c).alias(c)
+    own_indels = pairs.groupBy("__id").agg(one("target"), one("start"), one("__n"), F.max("length").alias("__most"), F.collect_list(F.struct("at", "length", "deletion")).alias("__indels"))
+    own_indels = stored(own_indels)
+    low = F.greatest(F.col("start") - F.col("__most"), F.lit(0))
+    high = F.col("start") + F.col("__n") + F.col("__most")
     blocks = F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
-    pieces = pairs.withColumn("__low", low).withColumn("block", blocks).join(genome.select("target", "block", F.col("bases").alias("__piece")), ["target", "block"])
-    keys = ["__id", "start", "seq", "at", "length", "deletion", "__low"]
-    around = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "__piece"))).alias("__p"))
-    stretch = around.select("*", (F.element_at("__p", 1)["block"] * size).alias("__begin"), F.array_join(F.transform("__p", lambda x: x["__piece"]), "").alias("__genome"))
+    pieces = own_indels.select("__id", "target", blocks.alias("block")).join(genome.select("target", "block", F.col("bases").alias("__piece")), ["target", "block"])
+    around = pieces.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("block", "__piece"))).alias("__p"))
+    stretch = around.select("__id", (F.element_at("__p", 1)["block"] * size).alias("__begin"), F.array_join(F.transform("__p", lambda x: x["__piece"]), "").alias("__genome"))
+    kinds = dict(pairs.dtypes)
+    wanted = own_indels.select("__id", "start", "__indels").join(stretch, "__id").join(own.select("__id", "seq"), "__id").select("__id", "start", "__indels", "__begin", "__genome", "seq")
+    shape = f"__id bigint, shift struct<at:{kinds['at']},length:{kinds['length']},deletion:boolean>, gain bigint"
+    best = wanted.mapInPandas(_best_shifts, shape)
+    return own.join(best, "__id", "left").drop("__id").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b["gain"] = [realign_score(s, g, int(p - o), int(a - o), int(n), bool(d)) for s, g, p, o, a, n, d in zip(b["seq"], b["__genome"], b["start"], b["__begin"], b["at"], b["length"], b["deletion"], strict=True)]
-            yield b[["__id", "at", "length", "deletion", "gain"]]
 
-    kinds = dict(stretch.dtypes)
-    wanted = stretch.select("__id", "start", "seq", "at", "length", "deletion", "__begin", "__genome")
-    scored = wanted.mapInPandas(run, f"__id bigint, at {kinds['at']}, length {kinds['length']}, deletion boolean, gain bigint").where("gain > 0")
-    best = scored.groupBy("__id").agg(F.max_by(F.struct("at", "length", "deletion"), F.struct("gain", "at")).alias("shift"), F.max("gain").alias("gain"))
-    return own.join(best, "__id", "left").drop("__id").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0)))
+def _best_shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(__id, shift, gain) of the reads of ``realigned`` that gain by one of their indels."""
+    for b in batches:
+        ids, shifts, gains = [], [], []
+        for i, start, indels, begin, genome, seq in zip(b["__id"], b["start"], b["__indels"], b["__begin"], b["__genome"], b["seq"], strict=True):
+            read, around = _codes(seq), _codes(genome)
+            each = ((realign_score(read, around, int(start - begin), int(x["at"] - begin), int(x["length"]), bool(x["deletion"])), x["at"], x["length"], bool(x["deletion"])) for x in indels)
+            gain, at, length, deletion = max(each)
+            if gain > 0:
+                ids.append(i)
+                shifts.append({"at": at, "length": length, "deletion": deletion})
+                gains.append(gain)
+        yield pd.DataFrame({"__id": ids, "shift": shifts, "gain": gains})
 
 
 def indel_alleles(df: DataFrame, source: str, targets: str) -> DataFrame:

@@ -19,8 +19,7 @@ READS = f"reads AS (SELECT doc_id, upper(regexp_replace({SEQ}, '[^acgt]', '', 'g
 
 
 def reads(t: Tables):
-    s = F.translate(F.lower("text"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
-    return t["documents"].select("doc_id", F.upper(F.regexp_replace(s, "[^acgt]", "")).alias("seq"), F.regexp_replace("text", "[^!-~]", "").alias("quality"))
+    return t["documents"].select("doc_id", sq.letters_as_bases("text").alias("seq"), F.regexp_replace("text", "[^!-~]", "").alias("quality"))
 
 
 @query(f"WITH {READS} SELECT seq, count(*) AS n FROM reads GROUP BY seq")

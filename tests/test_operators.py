@@ -253,3 +253,48 @@ def test_simulated_reads(spark):
     for r in got:
         part = "ACGTTGCAAC"[r["pos"] : r["pos"] + 4]
         assert r["seq"] in (part, part[::-1].translate(str.maketrans("ACGT", "TGCA")))
+
+
+def test_realign_score_of_each_kind():
+    def slow(read, genome, start, at, length, deletion):
+        score = 0
+        for i, base in enumerate(read):
+            here = start + i
+            moved = here + length if deletion else here - length
+            if here < at or (not deletion and here < at + length):
+                continue
+            if moved < 0 or moved >= len(genome) or here >= len(genome):
+                return score - 20
+            score += (genome[moved] == base) - (genome[here] == base)
+        return score
+
+    rnd = random.Random(3)
+    for _ in range(3000):
+        genome, read = ("".join(rnd.choices("ACé", k=rnd.randrange(lo, 14))) for lo in (1, 0))
+        asked = (read, genome, rnd.randrange(9), rnd.randrange(16), rnd.randrange(1, 5), rnd.random() < 0.5)
+        assert va.realign_score(*asked) == slow(*asked), asked
+
+
+def test_realignment_sends_bases_once_for_each_read(spark, monkeypatch):
+    """Neither a block nor a candidate indel brings a copy of the read along."""
+    genome = "".join(random.Random(4).choices("ACGT", k=400))
+    read = genome[:200] + genome[203:]
+    r = spark.createDataFrame([("t", 0, len(read), read, 0.0)], "target string, start long, end long, seq string, score double")
+    i = spark.createDataFrame([("t", at, 3, True) for at in (100, 200, 300)], "target string, at long, length long, deletion boolean")
+    seen, own = [], type(r).mapInPandas
+    monkeypatch.setattr(type(r), "mapInPandas", lambda df, f, schema, *a, **k: seen.append(df) or own(df, f, schema, *a, **k))
+    got = va.realigned(r, i, rd.genome_blocks(spark.createDataFrame([("t", genome)], "n string, s string"), "n", "s", 16), 16).collect()
+    assert [(x["shift"].at, x["gain"]) for x in got] == [(200, va.realign_score(read, genome, 0, 200, 3, True))]
+    assert seen[0].count() == 1
+
+
+def test_letters_as_bases(spark):
+    texts = [None, "", "Zebra fox 7!", "İKÉı\U0001f600T"]
+    s = F.translate(F.lower("t"), "bdefhijklmnopqrsuvwxyz", "acgtacgtacgtacgtacgtac")
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(sq.letters_as_bases("t").alias("a"), F.upper(F.regexp_replace(s, "[^acgt]", "")).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and got[0]["a"] is None
+
+
+def test_genome_blocks_of_odd_sequences(spark):
+    g = rd.genome_blocks(spark.createDataFrame([("n", None), ("e", ""), ("u", "AC\n\U0001f600T")], "n string, s string"), "n", "s", 2)
+    assert rows(g, "target", "block", "bases") == [("e", 0, ""), ("n", 0, None), ("u", 0, "AC"), ("u", 1, "\n\U0001f600"), ("u", 2, "T")]
