@@ -5,6 +5,11 @@ Readers use Spark's text source, so files of any store are split over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,16 +29,52 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     The text is split at a line end and "@"; a quality that begins with "@" is cut off its
     record by that and joined again with the piece behind it.
     """
-    raw = spark.read.option("lineSep", "\n@").text(path).select(F.regexp_replace("value", "\r", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
-    # the piece behind is in the same split, or the first one of the next split that has one
-    firsts = raw.groupBy("file", "block").agg(F.min_by("v", "i").alias("first"))
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.replace("value", F.lit("\r"), F.lit("")).alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # the piece behind is in the same split, or the first one of the next split that has one: a row for each split
+    firsts = raw.withColumn("i", F.monotonically_increasing_id()).groupBy("file", "block").agg(F.min_by("v", "i").alias("first"))
     follow = firsts.select("file", "block", F.lead("first").over(W.partitionBy("file").orderBy("block")).alias("follow"))
-    inside = F.lead("v").over(W.partitionBy("file", "block").orderBy("i"))
-    pieces = raw.withColumn("next", inside).join(follow, ["file", "block"])
-    rest = F.concat(F.lit("@"), F.coalesce("next", "follow", F.lit("")))
-    lines = F.filter(F.split("v", "\n"), lambda x: x != "")
-    each = pieces.select(lines.alias("r"), rest.alias("rest")).where(F.size("r") >= 3)
-    return each.select(F.regexp_replace(F.col("r")[0], "^@", "").alias("header"), F.col("r")[1].alias("seq"), F.coalesce(F.get("r", F.lit(3)), F.regexp_replace("rest", "\n+$", "")).alias("quality"))
+    records = raw.mapInArrow(_fastq_records, "header string, seq string, quality string, file string, block bigint")
+    rest = F.regexp_replace(F.concat(F.lit("@"), F.coalesce("follow", F.lit(""))), "\n+$", "")
+    return records.join(F.broadcast(follow), ["file", "block"], "left").select("header", "seq", F.coalesce("quality", rest).alias("quality"))
+
+
+def _fastq_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(header, seq, quality, file, block) of the pieces of a task, in order: a record that its split ends in
+    has a null quality and its split, all others have no split."""
+    held = None
+
+    def made(headers: list, seqs: list, qualities: list, file: str | None = None, block: int | None = None) -> pa.RecordBatch:
+        n = len(headers)
+        columns = [pa.array(x, pa.string()) for x in (headers, seqs, qualities, [file] * n)] + [pa.array([block] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["header", "seq", "quality", "file", "block"])
+
+    for batch in batches:
+        headers, seqs, qualities = [], [], []
+        pieces, files, blocks = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+        new = pc.or_(pc.not_equal(files[1:], files[:-1]), pc.not_equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(new) + 1).tolist(), len(pieces)] if pieces else []
+        for low, high in zip([0, *ends], ends):
+            split = files[low].as_py(), blocks[low].as_py()
+            if held and held[2:] != split:
+                yield made(*([x] for x in held[:2]), [None], *held[2:])
+                held = None
+            for v in pieces[low:high]:
+                if held:
+                    headers.append(held[0])
+                    seqs.append(held[1])
+                    qualities.append("@" + v.rstrip("\n"))
+                    held = None
+                lines = [x for x in v.split("\n") if x]
+                if len(lines) > 3:
+                    headers.append(lines[0].removeprefix("@"))
+                    seqs.append(lines[1])
+                    qualities.append(lines[3])
+                elif len(lines) == 3:
+                    held = lines[0].removeprefix("@"), lines[1], *split
+        if headers:
+            yield made(headers, seqs, qualities)
+    if held:
+        yield made(*([x] for x in held[:2]), [None], *held[2:])
 
 
 def fasta_lines(reads: DataFrame, header: str, seq: str, quality: str | None = None) -> DataFrame:

@@ -83,3 +83,12 @@ def test_attributes(spark, tmp_path):
 def test_json(spark):
     assert text.as_text(spark.createDataFrame([(1, "a")], "i int, s string")).first()[0] == '{"i":1,"s":"a"}'
     assert F is not None
+
+
+def test_fastq_is_read_without_a_shuffle_of_records(spark, tmp_path):
+    p = put(tmp_path, "a.fq", "@a\nACGT\n+\n@@II\n@b\nTT\n+b\n!!\n@c\nG\n+\n@")
+    (tmp_path / "b.fq").write_text("@d\nTTT\n+\n@II\n")
+    got = text.read_fastq(spark, [p, str(tmp_path / "b.fq")])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "ACGT", "@@II"), ("b", "TT", "!!"), ("c", "G", "@"), ("d", "TTT", "@II")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "lead(v" not in plan
