@@ -298,3 +298,23 @@ def test_letters_as_bases(spark):
 def test_genome_blocks_of_odd_sequences(spark):
     g = rd.genome_blocks(spark.createDataFrame([("n", None), ("e", ""), ("u", "AC\n\U0001f600T")], "n string, s string"), "n", "s", 2)
     assert rows(g, "target", "block", "bases") == [("e", 0, ""), ("n", 0, None), ("u", 0, "AC"), ("u", 1, "\n\U0001f600"), ("u", 2, "T")]
+
+
+def test_fisher_tails_of_many_tables(monkeypatch):
+    """Equal tables are worked out once, others many at a time, and each has its own p."""
+    rnd = random.Random(8)
+    tables = [[rnd.randrange(m) for _ in range(4)] for m in (1, 4, 30, 200) for _ in range(60)]
+    for terms in (1, 50, tails.TERMS):
+        monkeypatch.setattr(tails, "TERMS", terms)
+        greater, two = (f(*zip(*tables)) for f in (tails.fisher_greater, tails.fisher_two_sided))
+        for (w, x, y, z), g, t in zip(tables, greater, two):
+            r, c, n = w + x, w + y, w + x + y + z
+            p = {k: math.comb(r, k) * math.comb(n - r, c - k) for k in range(max(0, r + c - n), min(r, c) + 1)}
+            all_ = sum(p.values())
+            assert g == pytest.approx(sum(v for k, v in p.items() if k >= w) / all_)
+            assert t == pytest.approx(sum(v for v in p.values() if v <= p[w]) / all_)
+    assert len(tails.fisher_greater([], [], [], [])) == 0
+    calls, own = [], tails.log_factorial
+    monkeypatch.setattr(tails, "log_factorial", lambda n: calls.append(1) or own(n))
+    tails.fisher_greater(*zip(*tables * 50))
+    assert len(calls) < 50
