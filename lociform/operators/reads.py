@@ -17,6 +17,8 @@ from lociform.operators.sweep import running_sum
 BLOCK = 1 << 16
 #: As many different seeds are sent to all tasks.
 SEEDS = 1 << 20
+#: As many bases of blocks that points ask for are sent to all tasks.
+HELD = 1 << 25
 #: Characters that one histogram of qualities is made of.
 PART = 1 << 20
 
@@ -134,11 +136,18 @@ def genome_blocks(sequences: DataFrame, name: str, seq: str, block: int = BLOCK)
 def genome_get(points: DataFrame, blocks: DataFrame, target: str, pos: str, length: int = 1, block: int = BLOCK) -> DataFrame:
     """points with the bases from 0-based ``pos`` on, over block ends too."""
     own = points.withColumn("__t", F.col(target)).withColumn("__b", F.floor(F.col(pos) / block).cast("int"))
-    right = blocks.select(F.col("target").alias("__t"), F.col("block").alias("__b"), F.col("bases").alias("__one"))
-    more = blocks.select(F.col("target").alias("__t"), (F.col("block") - 1).alias("__b"), F.substring("bases", 1, length).alias("__two"))
-    got = own.join(right, ["__t", "__b"], "left").join(more, ["__t", "__b"], "left")
-    both = F.concat("__one", F.coalesce("__two", F.lit("")))
-    return got.withColumn("bases", both.substr((F.col(pos) % block + 1).cast("int"), F.lit(length))).drop("__t", "__b", "__one", "__two")
+    # each block with the beginning of the next one, in one pass over the blocks
+    both = F.array(F.struct(F.col("block").alias("__b"), F.col("bases").alias("__one"), F.lit(None).cast("string").alias("__two")), F.struct((F.col("block") - 1).alias("__b"), F.lit(None).cast("string").alias("__one"), F.substring("bases", 1, length - 1).alias("__two")))
+    each = blocks.select(F.col("target").alias("__t"), F.explode(both).alias("__x")).select("__t", "__x.*")
+    # where few blocks are asked for, each by many points, no point is dealt by its block
+    asked = own.select("__t", "__b").distinct()
+    few = asked.limit(HELD // (block + length) + 1).count() <= HELD // (block + length)
+    if few:
+        each = each.join(F.broadcast(asked), ["__t", "__b"], "left_semi")
+    stretches = each.groupBy("__t", "__b").agg(F.max("__one").alias("__one"), F.max("__two").alias("__two"))
+    got = own.join(F.broadcast(stretches) if few else stretches, ["__t", "__b"], "left")
+    all_ = F.concat("__one", F.coalesce("__two", F.lit("")))
+    return got.withColumn("bases", all_.substr((F.col(pos) % block + 1).cast("int"), F.lit(length))).drop("__t", "__b", "__one", "__two")
 
 
 def joined_blocks(parts: DataFrame, target: str, order: str, seq: str, block: int = BLOCK) -> DataFrame:
@@ -146,11 +155,12 @@ def joined_blocks(parts: DataFrame, target: str, order: str, seq: str, block: in
     own = parts.select(F.col(target).alias("target"), F.col(order).alias("__o"), F.col(seq).alias("__s"), F.length(seq).cast("long").alias("__n")).where("__n > 0")
     ends = running_sum(own.select("target", "__o", "__n"), ["target"], ["__o"], {"__end": "__n"})
     placed = own.join(ends.select("target", "__o", (F.col("__end") - F.col("__n")).alias("__at"), "__end"), ["target", "__o"])
-    each = placed.select("*", F.explode(F.sequence(F.floor(F.col("__at") / block), F.floor((F.col("__end") - 1) / block))).alias("block"))
-    first = F.greatest(F.col("block") * block - F.col("__at"), F.lit(0))
-    piece = F.col("__s").substr((first + 1).cast("int"), ((F.col("block") + 1) * block - F.col("__at") - first).cast("int"))
+    skip = ((block - F.col("__at") % block) % block).cast("int")
+    head = F.when(skip > 0, F.array(F.substring("__s", F.lit(1), skip))).otherwise(F.array().cast("array<string>"))
+    pieces = F.concat(head, _cut(F.col("__s").substr(skip + 1, F.col("__n").cast("int")), block))
+    each = placed.select("target", "__at", F.posexplode(pieces).alias("__i", "__piece")).select("target", (F.floor(F.col("__at") / block) + F.col("__i")).cast("int").alias("block"), "__at", "__piece")
     sorted_pieces = F.array_sort(F.collect_list(F.struct("__at", "__piece")))
-    return each.select("target", "block", "__at", piece.alias("__piece")).groupBy("target", F.col("block").cast("int").alias("block")).agg(F.array_join(F.transform(sorted_pieces, lambda x: x["__piece"]), "").alias("bases"))
+    return each.groupBy("target", "block").agg(F.array_join(F.transform(sorted_pieces, lambda x: x["__piece"]), "").alias("bases"))
 
 
 def _stretches(genome: DataFrame, size: int) -> DataFrame:

@@ -318,3 +318,20 @@ def test_fisher_tails_of_many_tables(monkeypatch):
     monkeypatch.setattr(tails, "log_factorial", lambda n: calls.append(1) or own(n))
     tails.fisher_greater(*zip(*tables * 50))
     assert len(calls) < 50
+
+
+def test_points_are_not_dealt_by_block(spark, monkeypatch):
+    """Few asked blocks go to the points; with many, the same bases come by a join."""
+    parts = [(1, "ACG"), (2, ""), (3, "TTACCA" * 3), (4, "G"), (5, "CA")]
+    whole = "".join(s for _, s in parts)
+    g = rd.joined_blocks(spark.createDataFrame([("c", o, s) for o, s in parts], "t string, o long, s string"), "t", "o", "s", 4)
+    assert rows(g, "block", "bases") == [(i, whole[4 * i : 4 * i + 4]) for i in range(6)]
+    p = spark.createDataFrame([("c", i) for i in range(30)] + [("d", 1), (None, 2), ("c", None)], "t string, p long")
+    want = sorted([("c", i, whole[i : i + 3] if i < len(whole) else "" if i // 4 == 5 else None) for i in range(30)] + [("d", 1, None)])
+    for held in (rd.HELD, 0):
+        monkeypatch.setattr(rd, "HELD", held)
+        got = rd.genome_get(p, g, "t", "p", 3, 4)
+        assert rows(got.where("t IS NOT NULL AND p IS NOT NULL"), "t", "p", "bases") == want
+        assert got.count() == 33
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join LeftOuter" in plan) and (held == 0 or "rightHint=(strategy=broadcast)" in plan)
