@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociform.operators.sweep import islands, largest_before, latest, previous, running_sum, swept
+from lociform.operators.sweep import block_of, islands, largest_before, latest, previous, running_sum, swept
+from lociform.scratch import stored
 
 
 def _steps(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,9 +79,15 @@ def sample_union(df: DataFrame, keys: list[str], start: str, end: str, sample: s
 
 def peaks(steps: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     """Maximal chains of adjacent runs above ``threshold``: start, length, summed run counts (Q10), area."""
-    above = previous(steps.where(F.col("count") > threshold), keys, ["start"], F.col("start") + F.col("length"), "__before")
-    chained = islands(above, keys, ["start"], F.coalesce(F.col("__before") != F.col("start"), F.lit(True)), "__peak")
-    return chained.groupBy(*keys, "__peak").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("count").alias("sum_transition_count"), F.sum(F.col("count") * F.col("length")).alias("area")).drop("__peak")
+    inside = W.partitionBy(*keys, "__blk").orderBy("start")
+    above = steps.where(F.col("count") > threshold).withColumn("__blk", block_of("start"))
+    opened = above.withColumn("__new", F.coalesce(F.lag(F.col("start") + F.col("length")).over(inside) != F.col("start"), F.lit(True)).cast("long"))
+    sums = lambda c: (F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("count").alias("count"), F.sum(c).alias("area"))
+    # the chains of each block, in one pass over the runs; only they are put together over the blocks
+    parts = stored(opened.withColumn("__n", F.sum("__new").over(inside)).groupBy(*keys, "__blk", "__n").agg(*sums(F.col("count") * F.col("length"))).drop("__blk", "__n"))
+    seen = previous(parts, keys, ["start"], F.col("start") + F.col("length"), "__before")
+    chained = islands(seen, keys, ["start"], F.coalesce(F.col("__before") != F.col("start"), F.lit(True)), "__peak")
+    return chained.groupBy(*keys, "__peak").agg(*sums("area")).select(*keys, "start", "length", F.col("count").alias("sum_transition_count"), "area")
 
 
 def merged_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0) -> DataFrame:

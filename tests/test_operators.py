@@ -335,3 +335,28 @@ def test_points_are_not_dealt_by_block(spark, monkeypatch):
         assert got.count() == 33
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert ("Join LeftOuter" in plan) and (held == 0 or "rightHint=(strategy=broadcast)" in plan)
+
+
+def test_peaks_over_blocks_in_one_pass(spark):
+    rnd, rows_, at = random.Random(6), [], 0
+    for _ in range(400):
+        at, n = at + (rnd.random() < 0.1) * rnd.randrange(1, 90_000), rnd.choice([1, 40, 2000, 140_000])
+        rows_.append(("k", at, n, rnd.randrange(9)))
+        at += n
+    want = []
+    for _, start, n, count in rows_:
+        if count > 2 and want and want[-1][0] + want[-1][1] == start:
+            want[-1] = (want[-1][0], want[-1][1] + n, want[-1][2] + count, want[-1][3] + n * count)
+        elif count > 2:
+            want.append((start, n, count, n * count))
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows_, "k string, start long, length long, count long").repartition(3)
+    got = cov.peaks(df.mapInPandas(passed, df.schema), ["k"], 2)
+    assert rows(got, "start", "length", "sum_transition_count", "area") == want
+    assert seen.value == len(rows_)
