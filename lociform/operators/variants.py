@@ -105,8 +105,8 @@ def alignments(sam: DataFrame) -> DataFrame:
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=list(VARIATION))))
             yield pa.RecordBatch.from_arrays(columns, names=[*PLAIN, "variations"])
 
-    tag = lambda n: F.element_at("tags", F.lit(n))
-    mapped = sam.where("(flag & 4) = 0 AND cigar != '*'").select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", tag("MD").alias("md"), tag("NH").alias("nh"))
+    tags = F.col("tags")
+    mapped = sam.where("(flag & 4) = 0 AND cigar != '*'").select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", tags["MD"].alias("md"), tags["NH"].alias("nh"))
     return mapped.mapInArrow(run, ROWS)
 
 

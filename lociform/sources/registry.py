@@ -26,7 +26,7 @@ def reader(name: str, *endings: str):
 
 
 reader("parquet", ".parquet", ".entries")(lambda spark, path: spark.read.parquet(path))
-reader("sam", ".sam")(lambda spark, path: va.alignments(text.read_sam(spark, path)))
+reader("sam", ".sam")(lambda spark, path: va.alignments(text.read_sam(spark, path, ["MD", "NH"])))
 reader("maf", ".maf")(blocks.read_maf)
 reader("fasta", ".fa", ".fasta")(text.read_fasta)
 reader("fastq", ".fq", ".fastq")(text.read_fastq)

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -163,19 +164,35 @@ def vcf_to_tab(df: DataFrame, info: list[str], sample_fields: dict[str, list[str
 SAM_FIELDS = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text: the eleven fields and a map of tags."""
-    f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
-    tags = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.slice(f, 12, 1 << 20), lambda x: x.rlike("^..:.:")), lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 6, 1 << 20).alias("value")))))
+def read_sam(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
+    """SAM text: the eleven fields and a map of tags, or a struct of the named ones."""
+    f = F.split("value", "\t", 12)
     own = spark.read.text(path).where("NOT startswith(value, '@') AND value != ''")
     ints = {"flag", "pos", "mapq", "pnext", "tlen"}
-    return own.select(*(F.get(f, F.lit(i)).cast("int").alias(n) if n in ints else F.get(f, F.lit(i)).alias(n) for i, n in enumerate(SAM_FIELDS)), tags.alias("tags"))
+    own = own.select(*(F.get(f, F.lit(i)).cast("int").alias(n) if n in ints else F.get(f, F.lit(i)).alias(n) for i, n in enumerate(SAM_FIELDS)), F.concat(F.lit("\t"), F.get(f, F.lit(11))).alias("rest"))
+    # no functions of lambdas: they are interpreted, and so is the whole step
+    found = lambda name, group: F.regexp_extract_all("rest", F.lit(f"\t({name}):[^\t]:([^\t]*)"), F.lit(group))
+    every = F.map_from_entries(F.array_distinct(F.arrays_zip(found("[^\t]{2}", 1).alias("key"), found("[^\t]{2}", 2).alias("value"))))
+    if tags is None:
+        return own.select(*SAM_FIELDS, F.when(F.col("rest").isNotNull(), every).otherwise(F.create_map().cast("map<string,string>")).alias("tags"))
+    own = own.select("*", *(found(n, 2).alias(f"all_{n}") for n in tags))
+    # a tag that stands twice in a line is left to the map: once if its values are the same, else an error
+    return own.select(*SAM_FIELDS, F.struct(*(F.when(F.size(f"all_{n}") < 2, F.get(f"all_{n}", F.lit(0))).otherwise(every[n]).alias(n) for n in tags)).alias("tags"))
 
 
 def sam_lines(df: DataFrame) -> DataFrame:
-    """SAM data lines of the fields and tags."""
-    tags = F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.when(e["value"].rlike("^-?[0-9]+$"), ":i:").otherwise(":Z:"), e["value"])))
-    return df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in SAM_FIELDS), tags).alias("value"))
+    """SAM data lines of the fields and tags, a map or a struct."""
+
+    def cell(key: Column, value: Column) -> Column:
+        sign = F.rtrim(value, F.lit("0123456789"))
+        return F.concat(key, F.when(sign.isin("", "-") & (sign != value), ":i:").otherwise(":Z:"), value)
+
+    kind = df.schema["tags"].dataType
+    if isinstance(kind, StructType):
+        tags = [cell(F.lit(n), F.col("tags")[n]) for n in sorted(kind.fieldNames())]
+    else:
+        tags = [F.sort_array(F.transform(F.map_entries("tags"), lambda e: cell(e["key"], e["value"])))]
+    return df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in SAM_FIELDS), *tags).alias("value"))
 
 
 def unaligned(sam: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Text formats: golden strings and round trips."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociform.operators import variants as va
@@ -56,6 +57,28 @@ def test_sam(spark, tmp_path):
     assert [tuple(r) for r in text.unaligned(sam).collect()] == [("r2", 1, "TT", "II")]
 
 
+def test_sam_tags(spark, tmp_path):
+    """Named tags equal those of the map, and lines of a struct those of a map; neither is read by functions of lambdas."""
+    line = "r{}\t0\tc\t1\t30\t2M\t*\t0\t0\tAC\tNH:i:7"
+    tails = ["", "\tNH:i:2", "\tXR:Z:a:NH:i:3\tNH:i:4", "\tNH:i:\tXR:Z:b", "\tNH:\t:x\tNH:i:5", "\tNH:ii\tXR:A:c", "\tNH:i:6\tNH:i:6", "\tNH:i:6\tNH:Z:6", "\tNHH:i:1\tnope\t\tXR:Z:-12", "\t", "\tXR:Z:\u00e4\U0001f600\tNH:Z:-", "\tNH:i:8\tXR:Z:x y", "\tNH:Z:1-\tXR:Z:5a"]
+    path = put(tmp_path, "t.sam", "@HD\tVN:1.0\n" + "\r\n".join(line.format(i) + x for i, x in enumerate(tails)) + "\nshort\t4\n")
+    want = [(None, None), ("2", None), ("4", "a:NH:i:3"), ("", "b"), ("5", None), (None, "c"), ("6", None), ("6", None), (None, "-12"), (None, None), ("-", "\u00e4\U0001f600"), ("8", "x y"), ("1-", "5a"), (None, None)]
+    every, named = text.read_sam(spark, path), text.read_sam(spark, path, ["NH", "XR"])
+    for df in (every, named):
+        assert [tuple(r) for r in df.select(F.col("tags")["NH"], F.col("tags")["XR"]).collect()] == want
+        assert [(r["qname"], r["flag"], r["seq"], r["qual"]) for r in df.collect()][-2:] == [("r12", 0, "AC", "NH:i:7"), ("short", 4, None, None)]
+    assert every.first()["tags"] == {}
+    lines = [r[0] for r in text.sam_lines(named).collect()]
+    assert lines == [r[0] for r in text.sam_lines(every.withColumn("tags", F.map_filter("tags", lambda k, v: k.isin("NH", "XR")))).collect()]
+    assert [x.split("\t")[11:] for x in lines[8:11]] == [["XR:i:-12"], [], ["NH:Z:-", "XR:Z:\u00e4\U0001f600"]] and lines[12].endswith("\tNH:Z:1-\tXR:Z:5a")
+    for df in (every, named, text.sam_lines(named)):
+        assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    twice = put(tmp_path, "u.sam", line.format(0) + "\tNH:i:1\tNH:i:2\n")
+    for names in (None, ["NH"]):
+        with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+            text.read_sam(spark, twice, names).collect()
+
+
 def test_tracks(spark, tmp_path):
     s = spark.createDataFrame([("c", 0, 5, 0), ("c", 5, 2, 3)], "k string, start long, length long, count long")
     tracks.write_bedgraph(s, "k", str(tmp_path / "bg"))
